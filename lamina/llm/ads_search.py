@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Work
 
-SAMPLE, MAX_LISTS, PROBE_SHARE, MIN_PROBES, BLOCK_ROWS, COLUMNS, EPS, SEED, ROUNDS = 20_000, 4096, 4.0, 16, 4096, 16, 2.1, 3, 12
+SAMPLE, MAX_LISTS, PROBE_SHARE, MIN_PROBES, BLOCK_ROWS, ASKS, COLUMNS, EPS, SEED, ROUNDS = 20_000, 4096, 0.5, 16, 4096, 256, 16, 2.1, 3, 12
 
 
 def _kmeans(x: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
@@ -84,7 +84,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
         return np.hstack([x, extra[:, None]]) @ turn
 
     centres = _kmeans(lift(sample, False), lists)
-    probes = min(len(centres), max(MIN_PROBES, math.ceil(probe_share * math.sqrt(len(centres)))))
+    probes = min(len(centres), max(MIN_PROBES, math.ceil(probe_share * len(centres))))
     shared = spark.sparkContext.broadcast(centres)  # at most MAX_LISTS rows
 
     def nearest(x: np.ndarray, m: int) -> np.ndarray:
@@ -129,20 +129,27 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
         if len(left) and len(right):
             x = np.vstack(right["e"])
             ids, turned = list(right["ids"]), lift(x, False)
-            q = np.vstack(left["e"])
-            for g, orig, now, worst in zip(left["g"], q, lift(q, True), left["worst"]):
-                alive, part = np.arange(len(x)), np.zeros(len(x))
-                limit = (orig @ orig) + longest - 2 * worst if worst == worst else np.inf  # the k-th best so far, as a distance
+            for at in range(0, len(left), ASKS):
+                some = left.iloc[at : at + ASKS]
+                gs, q = some["g"].to_numpy(), np.vstack(some["e"])
+                now, worst = lift(q, True), some["worst"].to_numpy()
+                # The k-th best so far, as a distance; none yet: any distance will do.
+                limit = np.where(np.isnan(worst), np.inf, (q * q).sum(1) + longest - 2 * worst)
+                qi, xi = np.nonzero(np.ones((len(q), len(x)), bool))
+                part = np.zeros(len(qi))
                 for a, b in bounds:
-                    part = part + ((turned[alive, a:b] - now[a:b]) ** 2).sum(1)
-                    if limit < np.inf:
-                        keep = part * ((dim + 1) / b) <= limit * (1 + eps / math.sqrt(b) * (b <= dim)) ** 2 + 1e-9
-                        alive, part = alive[keep], part[keep]
-                score = (x[alive] * orig).sum(1)
-                for i in _top(score, [ids[j] for j in alive], k + 1):
-                    out["g"].append(g)
-                    out["score"].append(score[i])
-                    out["ids"].append(ids[alive[i]])
+                    part += ((turned[xi, a:b] - now[qi, a:b]) ** 2).sum(1)
+                    keep = part * ((dim + 1) / b) <= limit[qi] * (1 + eps / math.sqrt(b) * (b <= dim)) ** 2 + 1e-9
+                    qi, xi, part = qi[keep], xi[keep], part[keep]
+                score = (x[xi] * q[qi]).sum(1)
+                edges = np.searchsorted(qi, np.arange(len(q) + 1))
+                for j in range(len(q)):
+                    own = slice(edges[j], edges[j + 1])
+                    near, scores = xi[own], score[own]
+                    for i in _top(scores, [ids[m] for m in near], k + 1):
+                        out["g"].append(gs[j])
+                        out["score"].append(scores[i])
+                        out["ids"].append(ids[near[i]])
         return pd.DataFrame({c: pd.Series(v, dtype=t) for (c, v), t in zip(out.items(), ("int64", "float64", object))})
 
     keys, kind = ["list", "x", "q"], "g long, score double, ids array<long>"
