@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Work
 
-SAMPLE, MAX_LISTS, PROBE_SHARE, MIN_PROBES, BLOCK_ROWS, ASKS, COLUMNS, EPS, SEED, ROUNDS = 20_000, 4096, 0.5, 16, 4096, 256, 16, 2.1, 3, 12
+SAMPLE, MAX_LISTS, PROBE_SHARE, MIN_PROBES, BLOCK_ROWS, ASKS, COLUMNS, EPS, SEED, ROUNDS = 20_000, 4096, 0.75, 16, 4096, 256, 16, 2.1, 3, 12
 
 
 def _kmeans(x: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
@@ -120,8 +120,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
     load = {r["list"]: r["count"] for r in probing.groupBy("list").count().collect()}
     plan = [(i, max(1, math.ceil(counts.get(i, 0) / BLOCK_ROWS)), max(1, math.ceil(load.get(i, 0) / BLOCK_ROWS))) for i in range(len(centres))]
     cuts = F.broadcast(spark.createDataFrame(plan, "list int, xs int, qs int"))  # at most MAX_LISTS rows
-    blocks = placed.join(cuts, "list").withColumn("x", F.pmod(F.xxhash64("g"), "xs")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    asking = probing.join(cuts, "list").withColumn("q", F.pmod(F.xxhash64("g"), "qs")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    blocks = placed.join(cuts, "list").withColumn("x", F.pmod(F.xxhash64("g"), "xs").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    asking = probing.join(cuts, "list").withColumn("q", F.pmod(F.xxhash64("g"), "qs").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
     bounds = [(i, min(i + COLUMNS, dim + 1)) for i in range(0, dim + 1, COLUMNS)]
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
