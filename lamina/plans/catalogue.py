@@ -1,4 +1,366 @@
 """All queries by name, and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec
+from ..operators import compaction, cursor, metrics
+from ..operators.latest import latest, live, snapshot_diff, tombstones, version_counts
+from ..operators.ops import batch_last_ops, synthetic_ops
+from ..sources.catalog import file_prune, fold_edits, obsolete_files
+from ..streaming.upsert import append_runs
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+OPS_SQL = """ops as (select concat('user_', cast(user_id as varchar)) as k, event_id as seq,
+    case when event_type = 'error' then 0 else 1 end as type,
+    case when event_type = 'error' then null
+         else concat(event_type, ':', cast(cast(round(value * 100) as bigint) as varchar)) end as v
+    from events)"""
+LATEST_SQL = f"{OPS_SQL}, r as (select *, row_number() over (partition by k order by seq desc) as rn from ops), cur as (select k, seq, type, v from r where rn = 1), live as (select k, seq, v from cur where type = 1)"
+
+
+def _varint_sql(x: str) -> str:
+    return f"(case when {x} < 128 then 1 when {x} < 16384 then 2 when {x} < 2097152 then 3 when {x} < 268435456 then 4 else 5 end)"
+
+
+_K, _V = "octet_length(encode(k))", "octet_length(encode(v))"
+BYTES_SQL = f"(1 + {_varint_sql(_K)} + {_K} + case when v is null then 0 else {_varint_sql(_V)} + {_V} end)"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def events_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as an op log: an error deletes its user, any other event is the user's newest value."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    error = F.col("event_type") == "error"
+    cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    return e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("k"), F.col("event_id").alias("seq"), F.when(error, 0).otherwise(1).alias("type"), F.when(~error, F.concat(F.col("event_type"), F.lit(":"), cents)).alias("v"))
+
+
+def files_of(ops: DataFrame, width: int = 1000) -> DataFrame:
+    return ops.withColumn("number", F.expr(f"seq div {width}L"))
+
+
+PROBES_SQL = "probes as (select concat('user_', cast(i as varchar)) as k from range(0, 400, 7) t(i))"
+
+
+def probes(spark: SparkSession) -> DataFrame:
+    return spark.range(0, 400, 7).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("k"))
+
+
+@query(f"with {LATEST_SQL} select k, seq, v from live")
+def kv_current(spark, sf_dir):
+    return live(events_ops(spark, sf_dir))
+
+
+@query(f"with {LATEST_SQL}, {PROBES_SQL} select p.k, l.k is not null as found, l.v from probes p left join live l on p.k = l.k")
+def kv_multi_get(spark, sf_dir):
+    return cursor.multi_get(events_ops(spark, sf_dir), probes(spark))
+
+
+@query(f"with {LATEST_SQL} select k, seq, v from live where k = 'user_7'")
+def kv_get(spark, sf_dir):
+    return cursor.get(events_ops(spark, sf_dir), "user_7")
+
+
+@query(f"with {LATEST_SQL} select k, seq, v from live where k >= 'user_2' and k < 'user_5'")
+def kv_scan_range(spark, sf_dir):
+    return cursor.scan(events_ops(spark, sf_dir), "user_2", "user_5", ordered=False)
+
+
+@query(f"with {LATEST_SQL} select k, seq, v from live where starts_with(k, 'user_1')")
+def kv_prefix(spark, sf_dir):
+    return cursor.scan(events_ops(spark, sf_dir), prefix="user_1", ordered=False)
+
+
+@query(f"with {LATEST_SQL}, {PROBES_SQL} select p.k, (select min(l.k) from live l where l.k >= p.k) as at from probes p")
+def kv_seek_ge(spark, sf_dir):
+    return cursor.multi_seek(events_ops(spark, sf_dir), probes(spark))
+
+
+@query(f"with {LATEST_SQL}, {PROBES_SQL} select p.k, (select max(l.k) from live l where l.k < p.k) as at from probes p")
+def kv_seek_lt(spark, sf_dir):
+    return cursor.multi_seek(events_ops(spark, sf_dir), probes(spark), before=True)
+
+
+@query(f"with {LATEST_SQL} select min(k) as first_k, max(k) as last_k, arg_min(v, k) as first_v, arg_max(v, k) as last_v from live")
+def kv_first_last(spark, sf_dir):
+    return live(events_ops(spark, sf_dir)).agg(F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.min_by("v", "k").alias("first_v"), F.max_by("v", "k").alias("last_v"))
+
+
+@query(f"with {LATEST_SQL} select k, lag(k) over (order by k) as prev_k, lead(k) over (order by k) as next_k from live")
+def kv_neighbors(spark, sf_dir):
+    return cursor.neighbours(events_ops(spark, sf_dir))
+
+
+@query(f"with {LATEST_SQL} select k, seq, v from live order by k desc limit 10")
+def kv_reverse_top(spark, sf_dir):
+    return cursor.scan(events_ops(spark, sf_dir), reverse=True, limit=10)
+
+
+@query(f"with {LATEST_SQL} select k from live")
+def kv_keys_only(spark, sf_dir):
+    return cursor.scan(events_ops(spark, sf_dir), keys_only=True, ordered=False)
+
+
+@query(f"with {OPS_SQL}, r as (select *, row_number() over (partition by k order by seq desc) as rn from ops where seq <= 5000) select k, seq, v from r where rn = 1 and type = 1")
+def kv_snapshot(spark, sf_dir):
+    return live(events_ops(spark, sf_dir), 5000)
+
+
+@query(
+    f"""with {LATEST_SQL}, r0 as (select *, row_number() over (partition by k order by seq desc) as rn from ops where seq <= 5000),
+    old as (select k, seq, v from r0 where rn = 1 and type = 1)
+    select * from (select coalesce(o.k, n.k) as k,
+        case when n.k is null then 'delete' when o.k is null then 'insert' when o.seq <> n.seq then 'update' end as change,
+        o.v as old_v, n.v as new_v from old o full join live n on o.k = n.k) where change is not null"""
+)
+def kv_snapshot_diff(spark, sf_dir):
+    return snapshot_diff(events_ops(spark, sf_dir), 5000)
+
+
+@query(
+    f"""with {OPS_SQL}, b as (select *, seq // 100 as batch_id, seq % 100 as op_idx from ops),
+    r as (select *, row_number() over (partition by batch_id, k order by op_idx desc) as rn, count(*) over (partition by batch_id, k) as n_ops from b)
+    select batch_id, k, type, v, n_ops from r where rn = 1"""
+)
+def kv_batch_apply(spark, sf_dir):
+    ops = events_ops(spark, sf_dir).withColumn("batch_id", F.expr("seq div 100L")).withColumn("op_idx", F.col("seq") % 100)
+    return batch_last_ops(ops)
+
+
+@query(f"with {LATEST_SQL} select k, seq from cur where type = 0")
+def kv_tombstones(spark, sf_dir):
+    return tombstones(events_ops(spark, sf_dir))
+
+
+@query(f"with {OPS_SQL} select k, count(*) as n_versions, cast(sum(1 - type) as bigint) as n_deletes, max(seq) as last_seq from ops group by k")
+def kv_version_count(spark, sf_dir):
+    return version_counts(events_ops(spark, sf_dir))
+
+
+FILES_SQL = f"f as (select seq // 1000 as number, count(*) as num_entries, cast(sum({BYTES_SQL}) as bigint) as file_size, min(k) as smallest, max(k) as largest, min(seq) as min_seq, max(seq) as max_seq from ops group by 1)"
+
+
+@query(f"with {OPS_SQL}, {FILES_SQL} select * from f")
+def kv_flush_files(spark, sf_dir):
+    return compaction.file_stats(files_of(events_ops(spark, sf_dir)), ["number"])
+
+
+@query(
+    f"""with {OPS_SQL}, s as (select *, {BYTES_SQL} as bytes from ops), c as (select *, sum(bytes) over (order by seq) as upto from s)
+    select cast((upto - bytes) // 32768 as bigint) as run, count(*) as num_entries, cast(sum(bytes) as bigint) as bytes, min(seq) as min_seq, max(seq) as max_seq from c group by 1"""
+)
+def kv_memtable_cut(spark, sf_dir):
+    cut = compaction.memtable_cut(events_ops(spark, sf_dir), 32768)
+    return cut.groupBy("run").agg(F.count("*").alias("num_entries"), F.sum("bytes").alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+
+
+@query(f"with {OPS_SQL}, {FILES_SQL}, {PROBES_SQL} select p.k, count(*) as n_files from probes p join f on p.k between f.smallest and f.largest group by p.k")
+def kv_file_prune(spark, sf_dir):
+    files = compaction.file_stats(files_of(events_ops(spark, sf_dir)), ["number"])
+    return file_prune(probes(spark), files).groupBy("k").agg(F.count("*").alias("n_files"))
+
+
+_LEVEL = "case when number >= 8 then 0 when number >= 4 then 1 else 2 end"
+
+
+@query(f"with {OPS_SQL}, g as (select *, seq // 1000 as number from ops), l as (select *, {_LEVEL} as level from g), r as (select *, row_number() over (partition by k order by level, number desc, seq desc) as rn from l) select k, seq, level, number, v from r where rn = 1 and type = 1")
+def kv_leveled_get(spark, sf_dir):
+    ops = files_of(events_ops(spark, sf_dir)).withColumn("level", F.expr(_LEVEL))
+    return cursor.leveled_get(ops).filter("type = 1").select("k", "seq", "level", "number", "v")
+
+
+@query(f"with {OPS_SQL}, r as (select *, row_number() over (partition by k order by seq desc) as rn from ops where seq // 1000 <= 4) select k, seq, type, v from r where rn = 1")
+def kv_compact_l0(spark, sf_dir):
+    return compaction.compacted(files_of(events_ops(spark, sf_dir)).filter("number <= 4").drop("number"), bottom=False)
+
+
+@query(f"with {LATEST_SQL} select k, seq, type, v from cur where type = 1")
+def kv_compact_bottom(spark, sf_dir):
+    return compaction.compacted(events_ops(spark, sf_dir), bottom=True)
+
+
+@query(
+    f"""with {OPS_SQL}, r as (select *, row_number() over (partition by k, case when seq <= 3000 then 0 when seq <= 7000 then 1 else 2 end order by seq desc) as rn from ops)
+    select k, seq, type, v from r where rn = 1"""
+)
+def kv_compact_pinned(spark, sf_dir):
+    return compaction.compacted(events_ops(spark, sf_dir), bottom=False, pinned=[3000, 7000])
+
+
+_PICK_FILES = "case when number < 3 then 1 when number < 7 then 2 else 3 end"
+
+
+@query(
+    f"""with {OPS_SQL}, {FILES_SQL}, l as (select {_PICK_FILES} as level, number, file_size * 1500 as file_size from f),
+    t(level, target) as (values (0, 0), (1, 10485760), (2, 104857600), (3, 1073741824)),
+    s as (select l.level, sum(file_size) as total, min(number) as first_number from l group by l.level),
+    d as (select s.level, s.first_number from s join t using (level) where s.level = 0 or s.total > t.target order by s.level limit 1)
+    select l.level, l.number from l join d using (level) where l.level = 0 or l.number = d.first_number"""
+)
+def kv_pick_compaction(spark, sf_dir):
+    files = compaction.file_stats(files_of(events_ops(spark, sf_dir)), ["number"])
+    leveled = files.select(F.expr(_PICK_FILES).alias("level"), "number", (F.col("file_size") * 1500).alias("file_size"))
+    return compaction.pick_compaction(leveled)
+
+
+EDITS_SQL = f"""{FILES_SQL}, e as (
+    select number as edit_id, 'add' as event, 0 as level, number, file_size from f
+    union all select 1000 + number, 'delete', 0, number, file_size from f where number % 3 = 0
+    union all select 1000 + number, 'add', 1, number + 100, file_size from f where number % 3 = 0),
+    w as (select *, row_number() over (partition by level, number order by edit_id desc) as rn from e)"""
+
+
+def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = compaction.file_stats(files_of(events_ops(spark, sf_dir)), ["number"]).select("number", "file_size")
+    third = f.filter("number % 3 = 0")
+    row = lambda df, edit, event, level, number: df.select(F.expr(edit).alias("edit_id"), F.lit(event).alias("event"), F.lit(level).alias("level"), F.expr(number).alias("number"), "file_size")
+    return row(f, "number", "add", 0, "number").unionByName(row(third, "1000 + number", "delete", 0, "number")).unionByName(row(third, "1000 + number", "add", 1, "number + 100"))
+
+
+@query(f"with {OPS_SQL}, {EDITS_SQL} select level, number, edit_id, file_size from w where rn = 1 and event = 'add'")
+def kv_live_files(spark, sf_dir):
+    return fold_edits(edit_events(spark, sf_dir))
+
+
+@query(f"with {OPS_SQL}, {EDITS_SQL} select distinct number from e where number not in (select number from w where rn = 1 and event = 'add')")
+def kv_obsolete_files(spark, sf_dir):
+    events = edit_events(spark, sf_dir)
+    return obsolete_files(events.select("number").distinct(), fold_edits(events))
+
+
+BLOCKS_SQL = f"""u as (select seq // 1000 as number, k, seq, v, {BYTES_SQL} as b, row_number() over (partition by seq // 1000, k order by seq desc) as rn from ops),
+    s as (select number, k, b, coalesce(sum(b) over (partition by number order by k rows between unbounded preceding and 1 preceding), 0) as before from u where rn = 1),
+    blk as (select number, cast(before // 512 as integer) as block_id, cast(min(before) as bigint) as "offset", cast(sum(b) as bigint) as size, max(k) as last_key, count(*) as n_entries from s group by 1, 2)"""
+
+
+def runs_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = F.max_by(F.struct("seq", "v"), "seq").alias("x")
+    return files_of(events_ops(spark, sf_dir)).groupBy("number", "k").agg(newest).select("number", "k", "x.seq", "x.v")
+
+
+@query(f"with {OPS_SQL}, {BLOCKS_SQL} select * from blk")
+def kv_block_index(spark, sf_dir):
+    return codec.block_index(runs_by_file(spark, sf_dir), block_size=512)
+
+
+@query(
+    f"""with {OPS_SQL}, {BLOCKS_SQL}, {PROBES_SQL}, ends as (select number, max("offset" + size) as total from blk group by number)
+    select p.k, e.number, coalesce((select min(b."offset") from blk b where b.number = e.number and b.last_key >= p.k), e.total) as "offset" from probes p, ends e where e.number = length(p.k) % 3"""
+)
+def kv_approx_offset(spark, sf_dir):
+    index = codec.block_index(runs_by_file(spark, sf_dir), block_size=512)
+    return codec.approximate_offset(probes(spark).withColumn("number", (F.length("k") % 3).cast("long")), index)
+
+
+@query(
+    f"""with {OPS_SQL}, d as (select distinct seq // 1000 as number, k from ops),
+    o as (select *, row_number() over (partition by number order by k) as i, lag(k) over (partition by number order by k) as pk from d)
+    select number, k, cast(i as integer) as i, cast(shared as integer) as shared, cast(length(k) - shared as integer) as unshared from (
+    select *, case when (i - 1) % 16 = 0 then 0 else len(list_filter(range(1, strlen(k) + 1), lambda j: j <= length(pk) and substring(k, 1, j) = substring(pk, 1, j))) end as shared from o)"""
+)
+def kv_prefix_compress(spark, sf_dir):
+    return codec.prefix_compressed(files_of(events_ops(spark, sf_dir)).select("number", "k").distinct())
+
+
+@query(f"with {OPS_SQL} select seq, {_varint_sql('seq')} as n_seq, {_varint_sql('seq * 1000')} as n_big, {BYTES_SQL} as entry_bytes from ops")
+def kv_varint_len(spark, sf_dir):
+    ops = events_ops(spark, sf_dir)
+    return ops.select("seq", codec.varint_length(F.col("seq")).alias("n_seq"), codec.varint_length(F.col("seq") * 1000).alias("n_big"), codec.entry_size(F.col("k"), F.col("v")).alias("entry_bytes"))
+
+
+@query(f"with {OPS_SQL}, {FILES_SQL} select number, cast(floor(-(case when num_entries = 0 then 10000 else num_entries end) * ln(0.01) / (ln(2.0) * ln(2.0))) as bigint) as num_bits, 6 as num_probes from f")
+def kv_bloom_params(spark, sf_dir):
+    files = compaction.file_stats(files_of(events_ops(spark, sf_dir)), ["number"])
+    return files.select("number", codec.bloom_bits_col(F.col("num_entries")).alias("num_bits"), codec.bloom_probes_col(F.lit(0.01)).alias("num_probes"))
+
+
+@query(f"with {OPS_SQL}, d as (select distinct seq // 1000 as number, k from ops) select count(*) as n_members, cast(0 as bigint) as false_negatives from d")
+def kv_bloom_probe(spark, sf_dir):
+    keys = files_of(events_ops(spark, sf_dir)).select("number", "k").distinct()
+    bits, probes_ = codec.bloom_bits(1000), codec.bloom_probes()
+    filters = codec.bloom_build(keys, ["number"], bits, probes_)
+    return codec.bloom_probe(keys, filters, ["number"], bits, probes_).agg(F.count("*").alias("n_members"), F.count_if(~F.col("may_contain")).alias("false_negatives"))
+
+
+@query()
+def kv_crc32(spark, sf_dir):
+    ops = events_ops(spark, sf_dir)
+    data = F.concat_ws("=", "k", F.coalesce("v", F.lit(""))).cast("binary")
+    return ops.select("seq", codec.crc32(data).alias("crc"), codec.block_crc(data).alias("block_crc"))
+
+
+@query()
+def kv_hash(spark, sf_dir):
+    return events_ops(spark, sf_dir).select("k").distinct().select("k", codec.hash32(F.col("k").cast("binary")).alias("h"), codec.hash32(F.col("k").cast("binary"), codec.BLOOM_SEED).alias("bloom_h"), codec.cache_shard(F.col("k").cast("binary")).alias("shard"))
+
+
+@query(f"with {OPS_SQL} select seq, upper(hex(encode(k))) as key_hex, {_varint_sql('seq')} as prefix_size, seq as value from ops")
+def kv_codec_roundtrip(spark, sf_dir):
+    ops = events_ops(spark, sf_dir)
+    wire = codec.length_prefixed(F.col("k").cast("binary"))
+    number = codec.read_varint(codec.varint(F.col("seq")))
+    return ops.select("seq", F.hex(codec.read_length_prefixed(wire)).alias("key_hex"), number["size"].alias("prefix_size"), number["value"].alias("value"))
+
+
+@query(
+    f"""with {OPS_SQL}, t as (select case when type = 1 then 'write' else 'read' end as kind, seq % 97 as ns, seq % 3 = 0 as hit from ops)
+    select count(*) filter (kind = 'read') as reads, count(*) filter (kind = 'write') as writes,
+    cast(sum(ns) filter (kind = 'read') as bigint) as read_ns, cast(sum(ns) filter (kind = 'write') as bigint) as write_ns,
+    coalesce(count(*) filter (hit) / nullif(count(*), 0), 0.0) as hit_rate from t"""
+)
+def kv_metrics(spark, sf_dir):
+    ops = events_ops(spark, sf_dir)
+    trace = ops.select(F.when(F.col("type") == 1, "write").otherwise("read").alias("kind"), (F.col("seq") % 97).alias("ns"), (F.col("seq") % 3 == 0).alias("hit"))
+    return metrics.trace_metrics(trace)
+
+
+@query(f"with {LATEST_SQL}, a as (select cast(sum({BYTES_SQL}) as bigint) as u from ops), b as (select cast(sum({BYTES_SQL}) as bigint) as c from cur) select u as user_bytes, c as compacted_bytes, coalesce((u + c) / nullif(u, 0), 1.0) as write_amplification from a, b")
+def kv_write_amplification(spark, sf_dir):
+    size = F.sum(codec.entry_size(F.col("k"), F.col("v")))
+    ops = events_ops(spark, sf_dir)
+    both = ops.agg(size.alias("user_bytes")).join(latest(ops).agg(size.alias("compacted_bytes")))  # a row each
+    return both.withColumn("write_amplification", metrics.ratio(F.col("user_bytes") + F.col("compacted_bytes"), F.col("user_bytes"), 1.0))
+
+
+@query("select concat('key_', cast(o_orderkey as varchar)) as k, o_orderkey as seq, concat(o_orderstatus, ':', cast(cast(round(o_totalprice * 100) as bigint) as varchar)) as v from orders where concat('key_', cast(o_orderkey as varchar)) >= 'key_2' and concat('key_', cast(o_orderkey as varchar)) < 'key_7'")
+def kv_orders_store(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
+    ops = o.select(F.concat(F.lit("key_"), F.col("o_orderkey").cast("string")).alias("k"), F.col("o_orderkey").alias("seq"), F.lit(1).alias("type"), F.concat("o_orderstatus", F.lit(":"), cents).alias("v"))
+    return cursor.scan(ops, "key_2", "key_7", ordered=False)
+
+
+@query("select concat('key_', cast(i as varchar)) as k, i + 1 as seq, 100 as n_bytes from range(0, 1000) t(i)")
+def kv_synthetic(spark, sf_dir):
+    return synthetic_ops(spark, 1000, 100).select(F.col("k").cast("string").alias("k"), "seq", F.octet_length("v").alias("n_bytes"))
+
+
+@query(f"with {LATEST_SQL} select k, seq, v from live")
+def kv_stream_upsert(spark, sf_dir):
+    """The op log as a stream, appended by micro-batches to a log of runs, then resolved."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-stream-")
+    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    error = F.col("event_type") == "error"
+    cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    ops = stream.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("k"), F.col("event_id").alias("seq"), F.when(error, 0).otherwise(1).alias("type"), F.when(~error, F.concat(F.col("event_type"), F.lit(":"), cents)).alias("v"))
+    append_runs(ops, f"{at}/log", f"{at}/state").awaitTermination()
+    return live(spark.read.schema(ops.schema).parquet(f"{at}/log"))
