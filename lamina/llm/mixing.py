@@ -20,26 +20,24 @@ from pyspark.sql import functions as F
 from .common import Work, texts
 from .quality import STATISTICS, statistics
 
-SAMPLE, WORDS, STEPS, ROUNDS, PULL, NEAR = 8_000, 64, 200, 60, 1e-3, 1e-4
+SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4
 
 
 def _words(text: bytes) -> list[bytes]:
     return re.findall(rb"(?:[a-z]|[\x80-\xff])+", text.lower())
 
 
-def _features(text: bytes, index: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    out = np.zeros(STATISTICS + len(index))
-    out[:STATISTICS] = statistics(text)
-    words = _words(text)
-    hits = [k for w in words if (k := index.get(w)) is not None]
+def _features(text: bytes, index: dict[bytes, int], of: np.ndarray, domains: int) -> tuple[int, np.ndarray]:
+    """Tokens; statistics, how often each telling word occurs, and how often those of each domain do, as logarithms."""
+    counts = np.zeros(len(index))
+    hits = [k for w in _words(text) if (k := index.get(w)) is not None]
     if hits:
-        np.add.at(out, np.array(hits) + STATISTICS, 1)
-        out[STATISTICS:] = np.log1p(out[STATISTICS:])
-    return len(text.split()), out
+        np.add.at(counts, hits, 1)
+    return len(text.split()), np.concatenate([statistics(text), np.log1p(counts), np.log1p(np.bincount(of, weights=counts, minlength=domains))])
 
 
-def _telling_words(sample: DataFrame, domains: list[str], words: int) -> list[bytes]:
-    """For each domain, the words whose presence tells most of it by the chi-square statistic; counted in Spark."""
+def _telling_words(sample: DataFrame, domains: list[str], words: int) -> dict[bytes, int]:
+    """For each domain, the words that occur more in it and tell most of it by the chi-square statistic; counted in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,13 +52,14 @@ def _telling_words(sample: DataFrame, domains: list[str], words: int) -> list[by
     total = sum(n.values())
     each = [F.sum(F.when(F.col("d") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)]
     counts = sample.select("text", "domain").mapInArrow(run, "w binary, d string").groupBy("w").agg(F.count("*").alias("n"), *each).filter("n >= 5")
-    out: dict[bytes, None] = {}
+    out: dict[bytes, int] = {}
     for k, d in enumerate(domains):
         a, b = F.col(f"n{k}"), F.col("n")
-        miss = a * total - b * n.get(d, 0)
+        miss = (a * total - b * n.get(d, 0)).cast("double")
         chi = miss * miss / (b * (total - b + 1.0) * max(1, n.get(d, 0)) * max(1, total - n.get(d, 0)))
-        out |= dict.fromkeys(bytes(r["w"]) for r in counts.orderBy(F.desc(chi), "w").limit(words).collect())
-    return list(out)
+        for r in counts.filter((miss > 0) & (chi * total >= TELLING)).orderBy(F.desc(chi), "w").limit(words).collect():
+            out.setdefault(bytes(r["w"]), k)
+    return out
 
 
 class Softmax:
@@ -105,11 +104,12 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
         even = F.array(*[F.lit(1 / len(domains)) for _ in domains])
         n = F.size(F.filter(F.split(F.col("text").cast("string"), r"[ \t-\r]+"), lambda w: w != "")).cast("long")
         return base.select("doc_id", n.alias("n_tokens"), even.alias("p"))
-    index = {w: k for k, w in enumerate(_telling_words(fit, domains, words))}
+    telling = _telling_words(fit, domains, words)
+    index, of = {w: k for k, w in enumerate(telling)}, np.array(list(telling.values()), np.int64)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [_features(t.as_py(), index)[1].astype(np.float32) for t in b.column(0)]
+            x = [_features(t.as_py(), index, of, len(domains))[1].astype(np.float32) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float32()))], names=["domain", "x"])
 
     rows = fit.mapInArrow(vectors, "domain string, x array<float>").toArrow()
@@ -120,7 +120,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                n, x = zip(*[_features(t.as_py(), index) for t in part.column(1)])
+                n, x = zip(*[_features(t.as_py(), index, of, len(domains)) for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(list(model(np.array(x))), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
 
     return base.mapInArrow(predict, "doc_id long, n_tokens long, p array<double>")
