@@ -9,23 +9,28 @@ bytes, are a batch's suffix array.
 Documents come in batches. A new batch's array is merge-scanned against itself and the levels of the index for suffixes
 that begin alike; then it becomes a level, and levels of one size merge, so an entry is rewritten a logarithmic number of
 times. What began alike is compared in full: runs whose whole stretch of bytes occurs twice are repeats throughout; of the
-others, at the ends of passages, each window is looked up among the windows of the runs it may equal.
+others, at the ends of passages, each window is looked up among the windows of the runs it may equal: one anchor's runs
+together, or, where an anchor has more than CROWD of them, window by window through the cluster. Texts are sent only of
+documents that a bitmap of fixed size says may be concerned.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work, raw_texts
 
-WINDOW, GRAM, BATCHES, BLOCK = 400, 64, 4, 1 << 19
+WINDOW, GRAM, BATCHES, BLOCK, CROWD = 400, 64, 4, 1 << 19, 50_000
+FILTER_BITS, FILTER_PARTS = 1 << 24, 4
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -149,6 +154,100 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
     return joined.select("doc_id", "th", "text", "todo").mapInArrow(run, "h long, w long, n int, doc_id long, th long, start int")
 
 
+def _regions(joined: DataFrame, window: int, gram: int) -> DataFrame:
+    """The bytes of the runs to be compared: h, n, doc_id, th, first, last, at (of the anchor in it), text."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["h", "n", "doc_id", "th", "first", "last", "at", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << 21) - 1)
+        for batch in batches:
+            rows = []
+            for i, th, t, todo in zip(*(batch.column(k) for k in range(4))):
+                text = t.as_py()
+                for r in todo.as_py():
+                    own = text[r["first"] : r["last"] + window]
+                    g = _gram_hashes(np.frombuffer(own, np.uint8)[:window], gram)
+                    at = int(np.argmin((g & ~mask) | np.arange(len(g), dtype=np.uint64)))
+                    rows.append((r["h"], min(r["n"], 2), i.as_py(), th.as_py(), r["first"], r["last"], at, own))
+            for k in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 5000]), kinds)], names=names)
+
+    return joined.select("doc_id", "th", "text", "todo").mapInArrow(run, "h long, n int, doc_id long, th long, first int, last int, at int, text binary")
+
+
+def _repeated(rows: list[dict], window: int) -> Iterator[tuple]:
+    """doc_id, th, first, last of the repeated windows of the runs that occur once, among runs of one anchor.
+
+    Equal windows hold the anchor at the same place: place by place, those that lie there are counted.
+    """
+    for a in range(min(r["at"] - (r["last"] - r["first"]) for r in rows), max(r["at"] for r in rows) + 1):
+        here = [r for r in rows if 0 <= r["at"] - a <= r["last"] - r["first"]]
+        if len(here) < 2:
+            continue
+        own = [r["text"][r["at"] - a : r["at"] - a + window] for r in here]
+        places: dict[bytes, int] = {}
+        for r, w in zip(here, own):
+            places[w] = places.get(w, 0) + r["n"]
+        for r, w in zip(here, own):
+            if r["n"] == 1 and places[w] > 1:
+                yield r["doc_id"], r["th"], r["first"] + r["at"] - a, r["first"] + r["at"] - a
+
+
+def _compared(regions: DataFrame, window: int) -> DataFrame:
+    """Repeated windows, group by group of equal h: rows come sorted by h, and one group at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*found)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "th", "first", "last"])
+
+        held, found, h = [], [], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["h"] != h:
+                    if len(held) > 1:
+                        found += _repeated(held, window)
+                    held, h = [], r["h"]
+                if not held or any(r[c] != held[-1][c] for c in ("doc_id", "th", "first")):
+                    held.append(r)
+            if len(found) > 50_000:
+                yield out(found)
+                found = []
+        if len(held) > 1:
+            found += _repeated(held, window)
+        yield out(found)
+
+    return regions.mapInArrow(run, "doc_id long, th long, first int, last int")
+
+
+class Members:
+    """A bitmap of FILTER_BITS bits, whatever the number of keys: which rows may be among them. A join tells for sure."""
+
+    def __init__(self, keys: DataFrame):
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(FILTER_BITS // 8, np.uint8)
+            for b in batches:
+                k = b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
+                np.bitwise_or.at(bits, (k >> np.uint64(3)).astype(np.int64), np.left_shift(1, (k & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+        total = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in keys.select("th").repartition(FILTER_PARTS).mapInArrow(fill, "bits binary").collect():
+            total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(total)
+
+    def may_hold(self, th: Column) -> Column:
+        shared = self.shared
+
+        def test(keys: pd.Series) -> pd.Series:
+            k = keys.to_numpy(np.int64).view(np.uint64) % np.uint64(FILTER_BITS)
+            return pd.Series((shared.value[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+
+        return F.pandas_udf(test, "boolean")(th)
+
+
 def spans(first: np.ndarray, last: np.ndarray, window: int) -> list[tuple[int, int]]:
     """The maximal runs of bytes that windows starting from first to last cover."""
     out: list[list[int]] = []
@@ -161,7 +260,7 @@ def spans(first: np.ndarray, last: np.ndarray, window: int) -> list[tuple[int, i
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, text: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for.
 
     Every byte goes that a string of window bytes covers which starts anywhere else too, in this document or another;
@@ -182,14 +281,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     one = F.min(F.struct("doc_id", "th", "first", "last")).alias("one")
     kinds = work.save(alike.groupBy(*stretch).agg(F.count("*").alias("n"), one), "kinds")
     whole = alike.join(kinds.filter("n > 1").select(*stretch), stretch, "left_semi").select("doc_id", "th", "first", "last")
-    open_ = kinds.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("least = 1 and m > 1").select("h")
-    todo = kinds.join(open_, "h", "left_semi").select("one.doc_id", "one.th", F.struct("h", "one.first", "one.last", "n").alias("r")).groupBy("doc_id", "th").agg(F.collect_list("r").alias("todo"))
+    open_ = kinds.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("least = 1 and m > 1").select("h", (F.col("m") > crowd).alias("crowded"))
+    r = F.struct("h", "one.first", "one.last", "n", "crowded").alias("r")
+    todo = kinds.join(open_, "h").select("one.doc_id", "one.th", r).groupBy("doc_id", "th").agg(F.collect_list("r").alias("todo"))
+    todo = work.save(todo, "todo")
     same = lambda a, b: (a["th"] == b["th"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    once = keyed  # a repeated row's runs occur twice, so it is only ever asked for once more than needed
-    joined = once.join(todo, same(once, todo)).select(once["doc_id"], once["th"], "text", "todo")
-    seen = work.save(_windows(joined, window).distinct(), "windows")
-    twice = seen.groupBy("h", "w").agg(F.sum("n").alias("places")).filter("places > 1").select("h", "w")
-    edge = seen.filter("n = 1").join(twice, ["h", "w"], "left_semi").select("doc_id", "th", F.col("start").alias("first"), F.col("start").alias("last"))
+    some = keyed.filter(Members(todo).may_hold(F.col("th")))
+    joined = some.join(todo, same(some, todo)).select(some["doc_id"], some["th"], "text", "todo")
+    calm = joined.withColumn("todo", F.filter("todo", lambda x: ~x["crowded"]))
+    # Rows that repeat a doc_id and text send their runs again: the stretches are told apart within the group.
+    regions = _regions(calm, window, gram).repartition("h").sortWithinPartitions("h", "doc_id", "th", "first")
+    edge = work.save(_compared(regions, window), "edges")
+    if not open_.filter("crowded").isEmpty():
+        seen = work.save(_windows(joined.withColumn("todo", F.filter("todo", lambda x: x["crowded"])), window).distinct(), "windows")
+        twice = seen.groupBy("h", "w").agg(F.sum("n").alias("places")).filter("places > 1").select("h", "w")
+        edge = edge.union(seen.filter("n = 1").join(twice, ["h", "w"], "left_semi").select("doc_id", "th", F.col("start").alias("first"), F.col("start").alias("last")))
     cut = work.save(whole.union(edge).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +315,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
             out = [batch.column(0), *(pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    last = keyed.join(cut, same(keyed, cut), "left").select(keyed["doc_id"], "text", "cuts")
-    done = last.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    members, shape = Members(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    maybe = keyed.withColumn("maybe", members.may_hold(F.col("th")))
+    kind = cut.schema["cuts"].dataType
+    clean = maybe.filter(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast(kind).alias("cuts"))
+    touched = maybe.filter("maybe").join(cut, same(maybe, cut), "left").select(maybe["doc_id"], "text", "cuts")
+    done = clean.mapInArrow(finish, shape).union(touched.mapInArrow(finish, shape))
     return done if text else done.drop("kept")

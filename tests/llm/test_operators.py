@@ -164,7 +164,8 @@ def test_remove_repeats(docs, rows, none):
                 gone[s : s + window] = True
         edges = np.diff(np.concatenate(([0], gone.astype(int))))
         want.append((i, len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    assert sort(suffix_dedup.remove_repeats(docs, window, 16, 5).collect()) == sort(want)
+    for crowd in (50_000, 2):
+        assert sort(suffix_dedup.remove_repeats(docs, window, 16, 5, crowd=crowd).collect()) == sort(want)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
