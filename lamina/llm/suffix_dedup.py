@@ -276,7 +276,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     for b in range(batches):
         more = index.insert(entries.filter(F.col("batch") == b).select("h"))
         found = more if found is None else found.union(more)
-    alike = work.save(entries.drop("batch").join(found.distinct(), "h", "left_semi"), "alike")
+    found = work.save(found.distinct(), "found")  # read anew, so that the join below deals both sides and can split a hot h
+    alike = work.save(entries.drop("batch").join(found, "h", "left_semi"), "alike")
     stretch = ["h", "d1", "d2"]
     one = F.min(F.struct("doc_id", "th", "first", "last")).alias("one")
     kinds = work.save(alike.groupBy(*stretch).agg(F.count("*").alias("n"), one), "kinds")
