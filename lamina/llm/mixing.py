@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Work, texts
 from .quality import STATISTICS, statistics
 
-SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4
+SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR, STILL = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4, 1e-6
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -166,8 +166,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     aim = share * (has.sum() if budget is None else budget)
     for _ in range(ROUNDS if has.sum() else 0):
         steps.append(np.where(has > 0, (now - aim) / np.maximum(has, 1e-9), 0))
-        now = totals(steps)
-        if np.abs(now - aim).max() <= NEAR * has.sum():
+        was, now = now, totals(steps)
+        if np.abs(now - aim).max() <= NEAR * has.sum() or np.abs(now - was).max() <= STILL * has.sum():
             break
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
