@@ -16,29 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work, raw_texts
 from .components import components
+from .near_copies import keep_one, shingles  # noqa: F401
 
-SEED, BITS, HOT = 42, 64, 32
+BITS, HOT = 64, 32
 LOW = 0xFFFFFFFF
 
 
 def fingerprint(text: bytes, width: int) -> int:
     """A bit is set if it is in over half of the XXH64 of the text's word shingles, repeats included; no words give 0."""
-    words = text.lower().split()  # bytes: A to Z, and the six ASCII white spaces
-    if not words:
+    own = shingles(text, width)
+    if not own:
         return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_digest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = min(width, len(words)) - 1
-    shingles = [digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - last].tolist(), ends[last:].tolist())]
-    n, ones = len(shingles), np.zeros(BITS, np.int64)
-    bits = np.frombuffer(b"".join(shingles), np.uint8).reshape(n, 8)
+    n, ones = len(own), np.zeros(BITS, np.int64)
+    bits = np.frombuffer(b"".join(own), np.uint8).reshape(n, 8)
     for k in range(0, n, 16384):  # memory stays bounded for very long texts
         part = np.unpackbits(bits[k : k + 16384], axis=1)
         full = len(part) // 255 * 255
@@ -113,9 +108,3 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 2, hot: int = HOT
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each near-duplicate group; all columns stay, null doc_ids too."""
-    kept = near_groups(docs, width, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["__keep"], "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
