@@ -5,9 +5,8 @@ themselves. A pair of similarity 0.8 shares none with a probability of (1 - 0.8
 a more similar one less often. Texts of one set are one node.
 
 A fingerprint that more than HOT nodes share would give pairs by the square. Nodes that such fingerprints bring together are
-compared with pivots: those as similar to one take its label. Similarity is one minus a metric, so members of a label
-that lie so near to the pivot that nothing of another label can be near to them need no more comparing. When few pairs of
-two labels are left, or after ROUNDS, these are compared one by one, so no pair is lost.
+a crowd, dealt to blocks of about BLOCK nodes; every two blocks of a crowd meet in a task of their own, which compares all
+their nodes as matrices and returns the edges of a spanning forest. The comparisons of a crowd still grow with its square.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Work, raw_texts
 from .components import components
 
-SEED, BANDS, ROWS, HOT, ROUNDS, FEW = 42, 28, 5, 32, 24, 16
+SEED, BANDS, ROWS, HOT, BLOCK, COLUMNS = 42, 28, 5, 32, 512, 8192
 _RNG = np.random.default_rng(9)
 _SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
@@ -96,8 +96,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, more columns) and j, the Jaccard similarity of their sets."""
-    more = [c for c in pairs.columns if c not in ("a", "b")]
+    """pairs (a, b) and j, the Jaccard similarity of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,48 +105,82 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 j.append(both / max(len(x) + len(y) - both, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(j, pa.float64())], names=["a", "b", *more, "j"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(j, pa.float64())], names=["a", "b", "j"])
 
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    joined = pairs.join(left, "a").join(right, "b").select("x", "y", "a", "b", *more)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b", *more).schema)
-    return joined.mapInArrow(run, f"{kinds}, j double")
-
-
-def _crowds(work: Work, hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b: edges whose components are those of the pairs of similarity least or more among nodes that share a hot val.
-
-    hot: val, node. Members not yet settled are in now: node, crowd (nodes that hot vals bring together), label.
-    """
-    links = work.save(hot.join(hot.groupBy("val").agg(F.min("node").alias("b")), "val").select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "crowd-links")
-    roots = components(work, links)
-    now = hot.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("crowd"), F.col("node").alias("label"))
-    now = work.save(now, "now-0")
-    members, edges, away = now.count(), None, 1 - least + 1e-9
-    for k in range(1, ROUNDS + 1):
-        # How many pairs of two labels there are still to compare, without making them.
-        held = hot.join(now, "node").groupBy("val", "label").agg(F.count("*").alias("n")).groupBy("val").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
-        if (held.agg(F.sum("p")).first()[0] or 0) <= FEW * members:
-            break
-        # The pivot is of a label of its own while there is one: each such node is compared in its turn.
-        size = now.groupBy("crowd", "label").agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
-        pivots = size.groupBy("crowd").agg(F.min_by("pivot", F.struct("size", F.xxhash64("pivot", F.lit(k)))).alias("b"), F.count("*").alias("labels")).filter("labels > 1").select("crowd", "b")
-        seen = work.save(_compared(now.join(pivots, "crowd").select(F.col("node").alias("a"), "b", "crowd", "label"), sets), f"seen-{k}")
-        near = seen.filter(F.col("j") >= least)
-        edges = near.select("a", "b") if edges is None else edges.union(near.select("a", "b"))
-        joined = near.select("crowd", "label").distinct().withColumn("new", F.lit(True))
-        labelled = seen.join(joined, ["crowd", "label"], "left").select(F.col("a").alias("node"), "crowd", F.when(F.col("new"), F.col("b")).otherwise(F.col("label")).alias("label"), (1 - F.col("j")).alias("d"), F.coalesce("new", F.lit(False)).alias("new"))
-        others = labelled.groupBy("crowd").agg(F.min(F.when(~F.col("new"), F.col("d"))).alias("nearest"))
-        stay = labelled.join(others, "crowd").filter(~F.col("new") | (F.col("d") + away >= F.col("nearest")))
-        now = work.save(stay.select("node", "crowd", "label"), f"now-{k}")
-    rest = hot.join(now, "node").select("val", "node", "label")
-    other = rest.toDF("val", "other", "its")
-    pairs = rest.join(other, "val").filter("node > other and label <> its").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    last = _compared(pairs, sets).filter(F.col("j") >= least).select("a", "b")
-    return last if edges is None else edges.union(last)
-
-
-def links(work: Work, docs: DataFrame, nodes: DataFrame, width: int, least: float, hot: int = HOT) -> DataFrame:
+    joined = pairs.join(left, "a").join(right, "b").select("x", "y", "a", "b")
+    return joined.mapInArrow(run, "a long, b long, j double")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the left shares with each of the right."""
+    x, y = np.concatenate([*left, np.zeros(0, np.uint64)]), np.concatenate([*right, np.zeros(0, np.uint64)])
+    columns = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(columns):
+        return out
+    places = []
+    for own, sets in ((x, left), (y, right)):
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(columns, own), len(columns) - 1)
+        held = columns[at] == own
+        order = np.argsort(at[held], kind="stable")
+        places.append((rows[held][order], at[held][order]))
+    for k in range(0, len(columns), COLUMNS):
+        parts = []
+        for (rows, at), n in zip(places, out.shape):
+            to = slice(*np.searchsorted(at, [k, k + COLUMNS]))
+            part = np.zeros((n, min(COLUMNS, len(columns) - k)), np.float32)
+            part[rows[to], at[to] - k] = 1
+            parts.append(part)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of this boolean matrix, left to right."""
+    seen, out = np.zeros(near.shape[0], bool), []
+    fresh = np.ones(near.shape[1], bool)
+    for first in range(near.shape[0]):
+        todo = [] if seen[first] else [first]
+        seen[first] = True
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(near[i] & fresh).tolist():
+                fresh[j] = False
+                out.append((i, j))
+                more = np.flatnonzero(near[:, j] & ~seen).tolist()
+                seen[more] = True
+                out += [(m, j) for m in more]
+                todo += more
+    return out
+
+
+def _crowds(work: Work, hot: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b: edges whose components are those of the pairs of similarity least or more among nodes that share a hot val (val, node)."""
+    joined = work.save(hot.join(hot.groupBy("val").agg(F.min("node").alias("b")), "val").select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "crowd-links")
+    roots = components(work, joined)
+    members = work.save(hot.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("crowd")), "crowds")
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "crowd").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("node", "crowd", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") <= F.col("other")).alias("left"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        sides = [group[group["left"]], group if same else group[~group["left"]]]
+        (a, x), (b, y) = [(g["node"].to_numpy(), [np.frombuffer(s, np.uint64) for s in g["own"]]) for g in sides]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        both = _shared(x, y)
+        every = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both
+        edges = np.array(_forest(both / np.maximum(every, 1) >= least), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": a[edges[:, 0]], "b": b[edges[:, 1]]})
+
+    return meets.join(sets, "node").groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long").filter("a <> b")
+
+
+def links(work: Work, docs: DataFrame, nodes: DataFrame, width: int, least: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """a, b: edges between nodes (node, n, th, bands) whose components are those of the pairs of similarity least or more."""
     table = nodes.select("node", "n", F.explode("bands").alias("val"))
     shared = table.groupBy("val").agg(F.count("*").alias("m")).filter("m > 1")
@@ -160,10 +193,10 @@ def links(work: Work, docs: DataFrame, nodes: DataFrame, width: int, least: floa
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("node")).distinct()
     sets = work.save(_sets(docs, nodes.select("node", "th").join(wanted.toDF("node"), "node", "left_semi"), width), "sets")
     edges = work.save(_compared(pairs, sets).filter(F.col("j") >= least).select("a", "b"), "near")
-    return edges if crowded.isEmpty() else edges.union(_crowds(work, crowded, sets, least))
+    return edges if crowded.isEmpty() else edges.union(_crowds(work, crowded, sets, least, block))
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int = HOT) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, th (hash of the text), component_id.
 
     component_id is the smallest doc_id among documents that steps of similarity least or more link. Null and empty texts
@@ -173,7 +206,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int =
     work = Work(docs.sparkSession, "near-copies")
     rows = work.save(sketches(docs, width), "sketches")
     nodes = work.save(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("bands").alias("bands"), F.min("doc_id").alias("least")), "nodes")
-    roots = components(work, links(work, docs, nodes, width, least, hot))
+    roots = components(work, links(work, docs, nodes, width, least, hot, block))
     rooted = work.save(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.select("doc_id", "th", "node").join(named, "node").select("doc_id", "th", "component_id")

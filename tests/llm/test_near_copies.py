@@ -62,6 +62,6 @@ def test_stage_keeps_one_of_each_group(spark):
     assert len(want) < len(rows) - 150
     assert sorted((r["doc_id"], r["text"] or "") for r in near_copies.keep_one(docs).collect()) == want
     least = sorted((i, groups[g]) for (i, _), g in zip(rows, parts(rows)))
-    for hot in (4,):
-        assert sorted((r["doc_id"], r["component_id"]) for r in near_copies.near_copies(docs, hot=hot).collect()) == least, hot
+    for hot, block in ((4, 16),):
+        assert sorted((r["doc_id"], r["component_id"]) for r in near_copies.near_copies(docs, hot=hot, block=block).collect()) == least
     assert near_copies.keep_one(docs.limit(0)).count() == 0
