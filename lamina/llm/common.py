@@ -68,6 +68,11 @@ def raw_texts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
+def text_hash(docs: DataFrame) -> Column:
+    """XXH64 of a row's text as raw_texts gives it."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+
+
 def one_space(text: Column) -> Column:
     """Each run of ASCII white space as one space. Single spaces, most runs, are not matches and so cost nothing."""
     return F.regexp_replace(text, rf"[\t-\r][{WHITE}]*| [{WHITE}]+", " ")

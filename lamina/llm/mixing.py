@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, texts
+from .common import Work, text_hash, texts
 from .quality import STATISTICS, statistics
 
 SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR, STILL = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4, 1e-6
@@ -90,12 +90,12 @@ class Softmax:
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE, words: int = WORDS) -> DataFrame:
-    """doc_id, n_tokens, p (array, in the order of domains). labelled: doc_id, domain; at most sample of its rows fit the model.
+    """doc_id, n_tokens, p (array, in the order of domains), th (hash of the text). labelled: doc_id, domain; at most sample of its rows fit the model.
 
     Null texts are empty. Labels that are null, of no document or of another domain are left out; without any, every
     domain is as likely. Rows in, rows out, repeated and null doc_ids too.
     """
-    base = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    base = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     marks = labelled.filter(F.col("domain").isin(domains)).select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
     work = Work(docs.sparkSession, "posteriors")
@@ -103,7 +103,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     if fit.isEmpty():
         even = F.array(*[F.lit(1 / len(domains)) for _ in domains])
         n = F.size(F.filter(F.split(F.col("text").cast("string"), r"[ \t-\r]+"), lambda w: w != "")).cast("long")
-        return base.select("doc_id", n.alias("n_tokens"), even.alias("p"))
+        return base.select("doc_id", n.alias("n_tokens"), even.alias("p"), "th")
     telling = _telling_words(fit, domains, words)
     index, of = {w: k for k, w in enumerate(telling)}, np.array(list(telling.values()), np.int64)
 
@@ -121,9 +121,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 n, x = zip(*[_features(t.as_py(), index, of, len(domains)) for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(list(model(np.array(x))), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(list(model(np.array(x))), pa.list_(pa.float64())), part.column(2)], names=["doc_id", "n_tokens", "p", "th"])
 
-    return base.mapInArrow(predict, "doc_id long, n_tokens long, p array<double>")
+    return base.mapInArrow(predict, "doc_id long, n_tokens long, p array<double>, th long")
 
 
 def rates_from(p: np.ndarray, steps: list[np.ndarray], pull: float = PULL) -> np.ndarray:
@@ -134,8 +134,9 @@ def rates_from(p: np.ndarray, steps: list[np.ndarray], pull: float = PULL) -> np
     return r
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None, pull: float = PULL) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, posteriors (in the order of targets), rate (0 or more).
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None, pull: float = PULL, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, posteriors (in the order of targets), rate (0 or more), and
+    the text's hash th if keyed.
 
     targets: the weight of each domain. budget: the expected tokens of the mix; a domain's name stands for the budget at
     which that domain's target is what it has, None for as many tokens as there are. Empty texts have no tokens and the
@@ -174,9 +175,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
         for b in batches:
             if b.num_rows:
                 r = rates_from(b.column(2).flatten().to_numpy().reshape(b.num_rows, -1), steps, pull)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], names=["doc_id", "n_tokens", "posteriors", "rate"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(r), b.column(3)], names=["doc_id", "n_tokens", "posteriors", "rate", "th"])
 
-    return known.mapInArrow(rate, "doc_id long, n_tokens long, posteriors array<double>, rate double")
+    rated = known.mapInArrow(rate, "doc_id long, n_tokens long, posteriors array<double>, rate double, th long")
+    return rated if keyed else rated.drop("th")
 
 
 def copies(rate: Column) -> Column:
@@ -185,7 +187,8 @@ def copies(rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None) -> DataFrame:
-    """docs with each document as many times as its rate says; all columns stay. Rows of one doc_id take their mean rate."""
-    rates = mixing_rates(docs, labelled, targets, budget).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("__id")).agg(F.avg("rate").alias("__rate"))
-    joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(rates.withColumn("__n", copies(F.col("__rate"))).filter("__n > 0").select("__id", "__n"), "__id")
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n", "__k")
+    """docs with each row as many times as its rate says; all columns stay. Rows of one doc_id, or of none, are rated each by its text."""
+    key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
+    rates = mixing_rates(docs, labelled, targets, budget, keyed=True).groupBy(*key).agg(F.max(copies(F.col("rate"))).alias("__n")).filter("__n > 0")
+    joined = docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(rates["__id"]) & (text_hash(docs) == rates["__th"]))
+    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__th", "__n", "__k")

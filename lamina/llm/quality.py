@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, crc_mod, raw_texts
+from .common import Work, crc_mod, raw_texts, text_hash
 
 FEATURES, RIDGE, SEED, GRID = 256, 1e-3, 7, 4096
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 white, 4 ASCII mark, 5 other
@@ -51,14 +51,14 @@ def statistics(text: bytes) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text (null: empty)."""
+    """doc_id, the statistics of each whole text (null: empty), and its hash th."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = [statistics(t.as_py()).astype(np.float32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float32()))], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float32())), batch.column(2)], names=["doc_id", "stats", "th"])
 
-    return raw_texts(docs).mapInArrow(run, "doc_id long, stats array<float>")
+    return raw_texts(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, stats array<float>, th long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -113,8 +113,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int = 1, features: int = FEATURES, ridge: float = RIDGE) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted.
+def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int = 1, features: int = FEATURES, ridge: float = RIDGE, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted, and the text's hash th if keyed.
 
     Labels of the held-out fold (crc32 of the doc_id's text mod folds) are never read. A tenth of the others calibrates,
     the rest fits. Null texts are empty texts, null labels and doc_ids without a document are left out, a label given
@@ -134,7 +134,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold:
 
     sums = _sum_rows(seen.select("stats"), moments, STATISTICS)
     if not len(sums):
-        return stats.select("doc_id", out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return stats.select("doc_id", out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), *["th"] * keyed)
     mean = sums[0] / sums[2]
     kernel = Kernel(mean, np.sqrt(np.maximum(sums[1] / sums[2] - mean**2, 0)), features)
     width = features + STATISTICS + 1
@@ -164,12 +164,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold:
         for batch in batches:
             if batch.num_rows:
                 p = np.clip(np.interp(raw(_matrix(batch.column(1))), xs, ys), 0, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), batch.column(2)], names=["doc_id", "score", "predicted", "th"])
 
-    return stats.mapInArrow(score, "doc_id long, score double, predicted int").select("doc_id", out.alias("held_out"), "score", "predicted")
+    return stats.mapInArrow(score, "doc_id long, score double, predicted int, th long").select("doc_id", out.alias("held_out"), "score", "predicted", *["th"] * keyed)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents scored below one half; all columns stay. A doc_id stays if all its rows score well."""
-    bad = quality_scores(docs, labels).filter("predicted = 0").select(F.coalesce("doc_id", F.lit(-1)).alias("__bad")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(bad, F.col("__id") == F.col("__bad"), "left_anti").drop("__id")
+    """docs without the rows scored below one half; all columns stay. Rows of one doc_id, or of none, are judged each by its text."""
+    bad = quality_scores(docs, labels, keyed=True).filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (text_hash(docs) == bad["__th"]), "left_anti")
