@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Work, text_hash, texts
 from .quality import STATISTICS, statistics
 
-SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR, STILL = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4, 1e-6
+SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR, CLOSE, STILL, SURE = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4, 0.01, 1e-6, 0.9
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -168,7 +168,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     for _ in range(ROUNDS if has.sum() else 0):
         steps.append(np.where(has > 0, (now - aim) / np.maximum(has, 1e-9), 0))
         was, now = now, totals(steps)
-        if np.abs(now - aim).max() <= NEAR * has.sum() or np.abs(now - was).max() <= STILL * has.sum():
+        if np.all(np.abs(now - aim) <= np.minimum(NEAR * has.sum(), CLOSE * aim)) or np.abs(now - was).max() <= STILL * has.sum():
             break
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +181,21 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     return rated if keyed else rated.drop("th")
 
 
-def copies(rate: Column) -> Column:
-    """A rate as whole copies, the nearest number: a rate of one half at least keeps a document."""
-    return F.floor(rate + 0.5).cast("int")
+def copies(rate: Column, least: Column | int = 0, *key: Column) -> Column:
+    """A rate as whole copies, least at least. The fraction is the share of keys (by their hash) that get one copy more."""
+    part = F.pmod(F.xxhash64(F.lit("mix"), *key), F.lit(1 << 30)) / (1 << 30)
+    return F.greatest(F.floor(rate + part).cast("int"), F.lit(least) if isinstance(least, int) else least)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None) -> DataFrame:
-    """docs with each row as many times as its rate says; all columns stay. Rows of one doc_id, or of none, are rated each by its text."""
+    """docs with each row as many times as its rate says, fractions by chance of the row's hash; all columns stay.
+
+    Rows of one doc_id, or of none, are rated each by its text. Where budget names a domain, which is to keep what it has,
+    the rows that belong to it by SURE or more stay once at least.
+    """
+    least = F.lit(0) if not isinstance(budget, str) else (F.element_at("posteriors", list(targets).index(budget) + 1) >= SURE).cast("int")
     key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
-    rates = mixing_rates(docs, labelled, targets, budget, keyed=True).groupBy(*key).agg(F.max(copies(F.col("rate"))).alias("__n")).filter("__n > 0")
+    number = copies(F.col("rate"), least, F.col("doc_id"), F.col("th"))
+    rates = mixing_rates(docs, labelled, targets, budget, keyed=True).groupBy(*key).agg(F.max(number).alias("__n")).filter("__n > 0")
     joined = docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(rates["__id"]) & (text_hash(docs) == rates["__th"]))
     return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__th", "__n", "__k")

@@ -30,3 +30,12 @@ def test_mix_rates_row_by_row(spark):
     mixed = mixing.mix(docs, marks, {"fine": 0.999, "bad": 0.001}, budget="fine").collect()
     assert {(r["doc_id"], r["text"]) for r in mixed} >= {(i, t) for i, t in rows if "a" in t}
     assert (None, rows[301][1]) not in {(r["doc_id"], r["text"]) for r in mixed}
+
+
+def test_copies_keep_the_fitted_fraction(spark):
+    df = spark.range(20000).withColumn("th", F.xxhash64("id"))
+    for rate in (0.3, 0.7, 1.4, 2.0):
+        n = df.select(mixing.copies(F.lit(rate), 0, F.col("id"), F.col("th")).alias("n"))
+        mean, low, high = n.agg(F.avg("n"), F.min("n"), F.max("n")).first()
+        assert abs(mean - rate) < 0.02 and low == int(rate) and high <= int(rate) + 1
+    assert df.select(mixing.copies(F.lit(0.2), 1, F.col("id")).alias("n")).agg(F.min("n")).first()[0] == 1
