@@ -165,7 +165,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
 
     start = work.save(scanned(asking.filter("first").withColumn("worst", F.lit(float("nan")))), "first")
     worst = best(start).groupBy("g").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("nan")).alias("worst"))
-    more = work.save(scanned(asking.filter("not first").join(worst, "g")), "more")
+    # A first list without vectors gives no row in worst, so no limit.
+    more = work.save(scanned(asking.filter("not first").join(worst, "g", "left")), "more")
     found = best(start.union(more)).select("g", "score", F.col("id").alias("vec_id"))
     mine = asked.join(entries.select("g", "e"), "e").select(F.col("id").alias("query_id"), "g")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
