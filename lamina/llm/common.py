@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,12 @@ WHITE = r" \t-\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (as in tests) a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; on a local master, as in tests, a folder of our own will do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         at = tempfile.mkdtemp(prefix="lamina-shared-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -50,6 +54,11 @@ class Work:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
+    def forget(self) -> None:
+        """After a step: what is written needs its shuffle files no more, and Spark removes them once the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.at}/{name}")
 

@@ -76,4 +76,18 @@ ORACLE_SQL = {
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
         from n""",
+    "op10_suffix_dedup": """
+        with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+        w as (select r, unnest(range(0, len(x) // 2 - 399)) as s, x from d),
+        v as (select r, s, md5(substring(x, 2 * s + 1, 800)) as h from w),
+        hit as (select r, s from (select r, s, count(*) over (partition by h) as n from v) where n > 1),
+        edge as (select r, s, s > lag(s + 400, 1, -1) over (partition by r order by s) as opens from hit),
+        run as (select r, s, sum(opens::int) over (partition by r order by s) as k from edge),
+        span as (select r, k, min(s) as a, max(s) + 400 as b from run group by all),
+        gap as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from span),
+        kept as (select r, string_agg(substring(d.x, 2 * before + 1, 2 * (a - before)), '' order by a) as x, max(b) as last, sum(b - a) as gone, count(*) as n from gap join d using (r) group by r)
+        select doc_id, len(d.x) // 2 as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0) as n_spans,
+               sha256(unhex(case when k.r is null then d.x else k.x || substring(d.x, 2 * last + 1) end)) as kept_sha256,
+               (len(d.x) // 2 - coalesce(gone, 0))::bigint as n_kept, coalesce(gone, 0) > 0 as has_repeat
+        from d left join kept k using (r)""",
 }

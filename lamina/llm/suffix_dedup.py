@@ -1,36 +1,35 @@
 """Repeated passages by a logarithmic family of (sampled) suffix arrays.
 
-A passage counts if WINDOW bytes of it start anywhere else too. A suffix array over every byte would take several times
+A passage counts if WINDOW bytes of it start anywhere else too. A suffix array over every byte would take over ten times
 the disk of the input, so suffixes are sampled by content: each window of WINDOW bytes stands by its anchor, the GRAM
-leading bytes of least hash that begin in it. Equal windows have equal anchors, so no repeat is lost. Windows that follow
-one another and share an anchor form a run, and the suffixes that begin at anchors, ordered by the digest of their leading
-bytes, are a batch's suffix array.
-
-Documents come in batches. A new batch's array is merge-scanned against itself and the levels of the index for suffixes
-that begin alike; then it becomes a level, and levels of one size merge, so an entry is rewritten a logarithmic number of
-times. What began alike is compared in full: runs whose whole stretch of bytes occurs twice are repeats throughout; of the
-others, at the ends of passages, each window is looked up among the windows of the runs it may equal: one anchor's runs
-together, or, where an anchor has more than CROWD of them, window by window through the cluster. Texts are sent only of
-documents that a bitmap of fixed size says may be concerned.
+leading bytes of least hash that begin in it. Equal windows have equal anchors at the same place, so no repeat is lost.
+Windows that follow one another and share an anchor form a run; the suffix that begins at the anchor stands for them.
+
+Documents come in batches. A batch's suffixes, ordered by their leading GRAM bytes, are its suffix array, a level of size
+one. The array is scanned, then merge-scanned with each level, in the order of the bytes: neighbours that share GRAM bytes
+are suffixes that a long match may hold. Levels of equal size merge, so an entry is rewritten a logarithmic number of times.
+
+Suffixes found alike are then compared by their runs' bytes. A run whose whole stretch of bytes occurs twice is a repeat
+throughout. Of the others, at the ends of passages, each window is looked up among the windows of the runs that begin with
+the same suffix bytes: one group of runs after the other, or, where more than CROWD different runs begin alike, window by
+window through the cluster.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work, raw_texts
 
 WINDOW, GRAM, BATCHES, BLOCK, CROWD = 400, 64, 4, 1 << 19, 50_000
-FILTER_BITS, FILTER_PARTS = 1 << 24, 4
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,8 +59,8 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
 
 
 def runs(text: bytes, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of each run of windows that share an anchor."""
-    hashes, firsts, lasts = [], [], []
+    """Anchor, first and last window start of each run of windows that share an anchor."""
+    anchors, firsts, lasts = [], [], []
     raw, mask = np.frombuffer(text, np.uint8), np.uint64((1 << 21) - 1)
     for at in range(0, len(raw) - window + 1, block):
         part = raw[at : at + block + window - 1]
@@ -75,109 +74,139 @@ def runs(text: bytes, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK
             low = np.minimum(low[: len(low) - (want - size)], low[want - size :])
         anchor = (low & mask).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
-        hashes.append(h[anchor[first]])
+        anchors.append(anchor[first] + at)
         firsts.append(first + at)
         lasts.append(np.concatenate((first[1:] - 1, [len(anchor) - 1])) + at)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
+    if not anchors:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(lasts)
+
+
+ENTRY = "p binary, doc_id long, th long, pos int, first int, last int"
+PLACE = ["doc_id", "th", "pos", "first", "last"]
 
 
-def _entries(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+def suffixes(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """An entry for each run of keyed (doc_id, th, text): p (the suffix's leading bytes), doc_id, th, pos (of the anchor), first, last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [], [], [], [], [])
+            lead, rows = [], ([], [], [], [])
             for i, t in enumerate(batch.column(2)):
                 text = t.as_py()
-                h, first, last = runs(text, window, gram)
-                if len(h):
-                    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a : b + window]) for a, b in zip(first.tolist(), last.tolist())]), np.int64).reshape(-1, 2)
-                    for to, x in zip(rows, (h.view(np.int64), d[:, 0], d[:, 1], np.full(len(h), i), first, last)):
+                pos, first, last = runs(text, window, gram)
+                if len(pos):
+                    lead += [text[a : a + gram] for a in pos.tolist()]
+                    for to, x in zip(rows, (np.full(len(pos), i), pos, first, last)):
                         to.append(x)
-            if rows[0]:
-                h, d1, d2, i, first, last = map(np.concatenate, rows)
-                ids, hashes = pa.array(ids, pa.int64()).take(pa.array(i)), pa.array(hashes, pa.int64()).take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d1), pa.array(d2), ids, hashes, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "d1", "d2", "doc_id", "th", "first", "last"])
-
-    return keyed.mapInArrow(run, "h long, d1 long, d2 long, doc_id long, th long, first int, last int")
-
+            if lead:
+                i, pos, first, last = map(np.concatenate, rows)
+                own = pa.array(i)
+                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (pos, first, last))], names=["p", *PLACE])
 
-class LogIndex:
-    """Sorted levels of suffix digests: batches are scanned against them and merged in, sizes doubling."""
+    return keyed.select("doc_id", "th", "text").mapInArrow(run, ENTRY)
 
-    def __init__(self, work: Work):
-        self.work, self.levels, self.made = work, [], 0
 
-    def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in the order of p: those whose neighbour has the same p. The first and last of a part always pass, for the part beside it may go on."""
+    held, linked = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        p, n = rows.column(0), rows.num_rows
+        same = pc.equal(p.slice(1), p.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        pick = np.zeros(n, bool)
+        pick[:-1] |= same
+        pick[1:] |= same
+        pick[0] |= linked
+        yield rows.slice(0, n - 1).filter(pa.array(pick[:-1]))
+        held, linked = rows.slice(n - 1), bool(pick[-1])
+    if held is not None:
+        yield held
+
+
+class SuffixIndex:
+    """Suffix arrays in levels whose sizes (in batches) are powers of two, the largest first; each batch is inserted once."""
+
+    def __init__(self, work: Work, window: int = WINDOW, gram: int = GRAM):
+        self.work, self.window, self.gram = work, window, gram
+        self.levels: list[tuple[int, str, DataFrame]] = []
+        self.made = 0
+
+    def _name(self, kind: str) -> str:
         self.made += 1
-        name = f"level-{self.made}"
-        return name, self.work.save(df.sortWithinPartitions("h"), name)
-
-    def insert(self, suffixes: DataFrame) -> DataFrame:
-        """h of the suffixes that begin like another one of this batch or of a level."""
-        name, new = self._write(suffixes.groupBy("h").agg(F.count("*").alias("n")))
-        found = new.filter("n > 1").select("h")
-        for _, _, level in self.levels:
-            found = found.union(new.select("h").join(level.select("h"), "h", "left_semi"))
-        found = self.work.save(found.distinct(), f"found-{self.made}")
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, old, level = self.levels.pop()
-            merged = new.union(level).groupBy("h").agg(F.sum("n").alias("n"))
-            was, (name, new) = name, self._write(merged)
-            self.work.drop(was)
+        return f"{kind}-{self.made}"
+
+    @staticmethod
+    def _ordered(entries: DataFrame) -> DataFrame:
+        """In the order of the suffixes' bytes, dealt by ranges; th and first split the range of a p that many share."""
+        return entries.repartitionByRange("p", "th", "first").sortWithinPartitions("p", "th", "first")
+
+    def _array(self, entries: DataFrame) -> tuple[str, DataFrame]:
+        name = self._name("level")
+        return name, self.work.save(self._ordered(entries), name)
+
+    def _alike(self, ordered: DataFrame) -> DataFrame:
+        """Entries alike, each with n, the number of rows it stands for; what a part's edges let pass goes if nothing is alike."""
+        found = ordered.mapInArrow(_scan, ENTRY).groupBy("p", *PLACE).agg(F.count("*").alias("n"))
+        return self.work.save(found, self._name("alike"))
+
+    def insert(self, keyed: DataFrame) -> DataFrame:
+        """Adds a batch (doc_id, th, text); returns the entries, of it and of the levels, that begin like another one.
+
+        An entry may return again after a later batch. A part's edges may let a few entries pass that are like no other.
+        """
+        raw = self._name("suffixes")
+        entries = self.work.save(suffixes(keyed, self.window, self.gram), raw)
+        name, array = self._array(entries)
+        self.work.drop(raw)
+        found, size, below = [self._alike(array)], 1, list(self.levels)
+        while below and below[-1][0] == size:  # levels of equal size merge, and the merged array is scanned as it is written
+            _, old, level = below.pop()
+            merged, both = self._array(array.unionByName(level))
+            found.append(self._alike(both))
+            self.work.drop(name)
             self.work.drop(old)
-            size *= 2
-        self.levels.append((size, name, new))
-        return found
-
+            name, array, size = merged, both, 2 * size
+        for _, _, level in below:  # larger levels stay as they are
+            found.append(self._alike(self._ordered(array.unionByName(level))))
+        self.levels = [*below, (size, name, array)]
+        alike = found[0]
+        for more in found[1:]:
+            alike = alike.unionByName(more)
+        self.work.forget()
+        return alike
 
-def _windows(joined: DataFrame, window: int) -> DataFrame:
-    """A row for each window of the runs to be compared: h, w (its digest), n (places it stands for), doc_id, th, start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, th, t, todo in zip(*(batch.column(k) for k in range(4))):
-                text, h, w, n, start = t.as_py(), [], [], [], []
-                for r in todo.as_py():
-                    a, b = r["first"], r["last"] + 1
-                    w += [xxhash.xxh3_64_intdigest(text[s : s + window]) for s in range(a, b)]
-                    h += [r["h"]] * (b - a)
-                    n += [min(r["n"], 2)] * (b - a)
-                    start += range(a, b)
-                m = len(w)
-                for k in range(0, m, 100_000):
-                    to = slice(k, k + 100_000)
-                    size = len(h[to])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[to], pa.int64()), pa.array(np.array(w[to], np.uint64).view(np.int64)), pa.array(n[to], pa.int32()), pa.array([i.as_py()] * size, pa.int64()), pa.array([th.as_py()] * size, pa.int64()), pa.array(start[to], pa.int32())], names=["h", "w", "n", "doc_id", "th", "start"])
 
-    return joined.select("doc_id", "th", "text", "todo").mapInArrow(run, "h long, w long, n int, doc_id long, th long, start int")
+REGION = "d1 long, d2 long, p binary, own binary, doc_id long, th long, first int, last int, at int"
 
 
 def _regions(joined: DataFrame, window: int, gram: int) -> DataFrame:
-    """The bytes of the runs to be compared: h, n, doc_id, th, first, last, at (of the anchor in it), text."""
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    names = ["h", "n", "doc_id", "th", "first", "last", "at", "text"]
+    """The bytes (own) of the runs to be compared, with their digest d1, d2, p, doc_id, th, first, last, at (of the anchor in own)."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    names = [c.split()[0] for c in REGION.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << 21) - 1)
         for batch in batches:
             rows = []
             for i, th, t, todo in zip(*(batch.column(k) for k in range(4))):
-                text = t.as_py()
+                text, i, th = t.as_py(), i.as_py(), th.as_py()
                 for r in todo.as_py():
-                    own = text[r["first"] : r["last"] + window]
-                    g = _gram_hashes(np.frombuffer(own, np.uint8)[:window], gram)
-                    at = int(np.argmin((g & ~mask) | np.arange(len(g), dtype=np.uint64)))
-                    rows.append((r["h"], min(r["n"], 2), i.as_py(), th.as_py(), r["first"], r["last"], at, own))
-            for k in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 5000]), kinds)], names=names)
+                    own, at = text[r["first"] : r["last"] + window], r["pos"] - r["first"]
+                    d = np.frombuffer(xxhash.xxh3_128_digest(own, seed=at), np.int64)
+                    rows.append((int(d[0]), int(d[1]), own[at : at + gram], own, i, th, r["first"], r["last"], at))
+                if len(rows) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
-    return joined.select("doc_id", "th", "text", "todo").mapInArrow(run, "h long, n int, doc_id long, th long, first int, last int, at int, text binary")
+    return joined.select("doc_id", "th", "text", "todo").mapInArrow(run, REGION)
 
 
 def _repeated(rows: list[dict], window: int) -> Iterator[tuple]:
-    """doc_id, th, first, last of the repeated windows of the runs that occur once, among runs of one anchor.
+    """doc_id, th, first, last of the repeated windows of the runs that occur once, among runs that begin alike.
 
     Equal windows hold the anchor at the same place: place by place, those that lie there are counted.
     """
@@ -185,7 +214,7 @@ def _repeated(rows: list[dict], window: int) -> Iterator[tuple]:
         here = [r for r in rows if 0 <= r["at"] - a <= r["last"] - r["first"]]
         if len(here) < 2:
             continue
-        own = [r["text"][r["at"] - a : r["at"] - a + window] for r in here]
+        own = [r["own"][r["at"] - a : r["at"] - a + window] for r in here]
         places: dict[bytes, int] = {}
         for r, w in zip(here, own):
             places[w] = places.get(w, 0) + r["n"]
@@ -194,24 +223,23 @@ def _repeated(rows: list[dict], window: int) -> Iterator[tuple]:
                 yield r["doc_id"], r["th"], r["first"] + r["at"] - a, r["first"] + r["at"] - a
 
 
-def _compared(regions: DataFrame, window: int) -> DataFrame:
-    """Repeated windows, group by group of equal h: rows come sorted by h, and one group at a time is held."""
+def _compared(kinds: DataFrame, window: int) -> DataFrame:
+    """Repeated windows, group by group of equal p: rows come sorted by p, and one group at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*found)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "th", "first", "last"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=["doc_id", "th", "first", "last"])
 
-        held, found, h = [], [], None
+        held, found, p = [], [], None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["h"] != h:
+                if r["p"] != p:
                     if len(held) > 1:
                         found += _repeated(held, window)
-                    held, h = [], r["h"]
-                if not held or any(r[c] != held[-1][c] for c in ("doc_id", "th", "first")):
-                    held.append(r)
+                    held, p = [], r["p"]
+                held.append(r)
             if len(found) > 50_000:
                 yield out(found)
                 found = []
@@ -219,33 +247,52 @@ def _compared(regions: DataFrame, window: int) -> DataFrame:
             found += _repeated(held, window)
         yield out(found)
 
-    return regions.mapInArrow(run, "doc_id long, th long, first int, last int")
+    return kinds.mapInArrow(run, "doc_id long, th long, first int, last int")
 
 
-class Members:
-    """A bitmap of FILTER_BITS bits, whatever the number of keys: which rows may be among them. A join tells for sure."""
+def _windows(kinds: DataFrame, window: int) -> DataFrame:
+    """A row for each window of kinds: w (its bytes), x (the anchor's place in it), n, doc_id, th, start."""
 
-    def __init__(self, keys: DataFrame):
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(FILTER_BITS // 8, np.uint8)
-            for b in batches:
-                k = b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
-                np.bitwise_or.at(bits, (k >> np.uint64(3)).astype(np.int64), np.left_shift(1, (k & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+                many = range(r["last"] - r["first"] + 1)
+                cols = [[r["own"][k : k + window] for k in many], [r["at"] - k for k in many], [min(r["n"], 2)] * len(many), [r["doc_id"]] * len(many), [r["th"]] * len(many), [r["first"] + k for k in many]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["w", "x", "n", "doc_id", "th", "start"])
 
-        total = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in keys.select("th").repartition(FILTER_PARTS).mapInArrow(fill, "bits binary").collect():
-            total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-        self.shared = keys.sparkSession.sparkContext.broadcast(total)
+    return kinds.mapInArrow(run, "w binary, x int, n int, doc_id long, th long, start int")
 
-    def may_hold(self, th: Column) -> Column:
-        shared = self.shared
 
-        def test(keys: pd.Series) -> pd.Series:
-            k = keys.to_numpy(np.int64).view(np.uint64) % np.uint64(FILTER_BITS)
-            return pd.Series((shared.value[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+def repeats(work: Work, keyed: DataFrame, alike: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """doc_id, th, first, last: the repeated window starts among the runs of entries found alike, compared by their bytes."""
+    twice = alike.groupBy("p").agg(F.sum("n").alias("m")).filter("m > 1").select("p")
+    todo = alike.join(twice, "p", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "first", "last")).alias("todo"))
+    todo = work.save(todo, "todo")
+    joined = keyed.join(todo, _same(keyed, todo)).select(keyed["doc_id"], keyed["th"], "text", "todo")
+    regions = work.save(_regions(joined, window, gram), "regions")
+    work.forget()
+    # Equal digests are held against the bytes: should two stretches share one, the stretches themselves are the key.
+    one = F.min(F.struct("doc_id", "th", "first", "last")).alias("one")
+    check = [F.min("own").alias("own"), F.max("own").alias("other"), F.first("p").alias("p"), F.first("at").alias("at"), F.count("*").alias("n"), one]
+    key = ["d1", "d2"]
+    kinds = work.save(regions.groupBy(*key).agg(*check), "kinds")
+    if not kinds.filter("own <> other").isEmpty():
+        key = ["own", "at"]
+        kinds = work.save(regions.groupBy(*key).agg(F.first("p").alias("p"), F.count("*").alias("n"), one), "kinds-by-bytes")
+    whole = regions.join(kinds.filter("n > 1").select(*key), key, "left_semi").select("doc_id", "th", "first", "last")
+    open_ = kinds.groupBy("p").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("least = 1 and m > 1").select("p", (F.col("m") > crowd).alias("crowded"))
+    open_ = work.save(open_, "open")  # read anew, so that the join deals both sides and can split a hot p
+    some = kinds.join(open_, "p").select("p", "own", "at", "n", "one.doc_id", "one.th", "one.first", "one.last", "crowded")
+    edge = _compared(some.filter("not crowded").drop("crowded").repartition("p").sortWithinPartitions("p"), window)
+    if not open_.filter("crowded").isEmpty():
+        seen = work.save(_windows(some.filter("crowded").drop("crowded"), window), "windows")
+        again = seen.groupBy("w", "x").agg(F.sum("n").alias("places")).filter("places > 1").select("w", "x")
+        edge = edge.union(seen.filter("n = 1").join(again, ["w", "x"], "left_semi").select("doc_id", "th", F.col("start").alias("first"), F.col("start").alias("last")))
+    return whole.union(edge)
+
 
-        return F.pandas_udf(test, "boolean")(th)
+def _same(a: DataFrame, b: DataFrame):
+    return (a["th"] == b["th"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
 def spans(first: np.ndarray, last: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -261,47 +308,29 @@ def spans(first: np.ndarray, last: np.ndarray, window: int) -> list[tuple[int, i
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, text: bool = False, crowd: int = CROWD) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for.
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left), has_repeat, and the kept bytes if asked for.
 
     Every byte goes that a string of window bytes covers which starts anywhere else too, in this document or another;
     windows may overlap, and are judged on the input. Null texts are empty, texts shorter than a window lose nothing.
     Rows that repeat a doc_id and text are places of their own. Null doc_ids are allowed; an empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored. The documents enter the index in as many batches as asked for, dealt by their texts' hash.
     """
     work = Work(docs.sparkSession, "suffix-dedup")
     keyed = raw_texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    entries = _entries(keyed, window, gram).withColumn("batch", F.pmod(F.xxhash64("th"), F.lit(batches)).cast("int"))
-    entries = work.save(entries, "entries")
-    index, found = LogIndex(work), None
+    index, alike = SuffixIndex(work, window, gram), None
     for b in range(batches):
-        more = index.insert(entries.filter(F.col("batch") == b).select("h"))
-        found = more if found is None else found.union(more)
-    found = work.save(found.distinct(), "found")  # read anew, so that the join below deals both sides and can split a hot h
-    alike = work.save(entries.drop("batch").join(found, "h", "left_semi"), "alike")
-    stretch = ["h", "d1", "d2"]
-    one = F.min(F.struct("doc_id", "th", "first", "last")).alias("one")
-    kinds = work.save(alike.groupBy(*stretch).agg(F.count("*").alias("n"), one), "kinds")
-    whole = alike.join(kinds.filter("n > 1").select(*stretch), stretch, "left_semi").select("doc_id", "th", "first", "last")
-    open_ = kinds.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("least = 1 and m > 1").select("h", (F.col("m") > crowd).alias("crowded"))
-    r = F.struct("h", "one.first", "one.last", "n", "crowded").alias("r")
-    todo = kinds.join(open_, "h").select("one.doc_id", "one.th", r).groupBy("doc_id", "th").agg(F.collect_list("r").alias("todo"))
-    todo = work.save(todo, "todo")
-    same = lambda a, b: (a["th"] == b["th"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    some = keyed.filter(Members(todo).may_hold(F.col("th")))
-    joined = some.join(todo, same(some, todo)).select(some["doc_id"], some["th"], "text", "todo")
-    calm = joined.withColumn("todo", F.filter("todo", lambda x: ~x["crowded"]))
-    # Rows that repeat a doc_id and text send their runs again: the stretches are told apart within the group.
-    regions = _regions(calm, window, gram).repartition("h").sortWithinPartitions("h", "doc_id", "th", "first")
-    edge = work.save(_compared(regions, window), "edges")
-    if not open_.filter("crowded").isEmpty():
-        seen = work.save(_windows(joined.withColumn("todo", F.filter("todo", lambda x: x["crowded"])), window).distinct(), "windows")
-        twice = seen.groupBy("h", "w").agg(F.sum("n").alias("places")).filter("places > 1").select("h", "w")
-        edge = edge.union(seen.filter("n = 1").join(twice, ["h", "w"], "left_semi").select("doc_id", "th", F.col("start").alias("first"), F.col("start").alias("last")))
-    cut = work.save(whole.union(edge).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")
+        more = index.insert(keyed.filter(F.pmod(F.xxhash64("th"), F.lit(batches)) == b))
+        alike = more if alike is None else alike.unionByName(more)
+    alike = work.save(alike.groupBy("p", *PLACE).agg(F.max("n").alias("n")), "found")
+    for _, name, _ in index.levels:
+        work.drop(name)
+    places = repeats(work, keyed, alike, window, gram, crowd)
+    cut = work.save(places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
+    work.forget()
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for t, cuts in zip(batch.column(1), batch.column(2)):
                 raw, kept, at, gone, n = t.as_py(), [], 0, 0, 0
                 if cuts.is_valid:
@@ -311,15 +340,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                         at, gone, n = b, gone + b - a, n + 1
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                for to, x in zip(rows, (len(raw), gone, n, hashlib.sha256(left).hexdigest(), left if text else None)):
+                for to, x in zip(rows, (len(raw), gone, n, hashlib.sha256(left).hexdigest(), len(left), gone > 0, left if text else None)):
                     to.append(x)
-            out = [batch.column(0), *(pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    members, shape = Members(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    maybe = keyed.withColumn("maybe", members.may_hold(F.col("th")))
-    kind = cut.schema["cuts"].dataType
-    clean = maybe.filter(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast(kind).alias("cuts"))
-    touched = maybe.filter("maybe").join(cut, same(maybe, cut), "left").select(maybe["doc_id"], "text", "cuts")
-    done = clean.mapInArrow(finish, shape).union(touched.mapInArrow(finish, shape))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "has_repeat", "kept"])
+
+    joined = keyed.join(cut, _same(keyed, cut), "left").select(keyed["doc_id"], "text", "cuts")
+    done = joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, has_repeat boolean, kept binary")
     return done if text else done.drop("kept")

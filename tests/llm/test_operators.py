@@ -163,16 +163,16 @@ def test_remove_repeats(docs, rows, none):
             if seen[b[s : s + window]] > 1:
                 gone[s : s + window] = True
         edges = np.diff(np.concatenate(([0], gone.astype(int))))
-        want.append((i, len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    for crowd in (50_000, 2):
-        assert sort(suffix_dedup.remove_repeats(docs, window, 16, 5, crowd=crowd).collect()) == sort(want)
+        want.append((i, len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int((~gone).sum()), bool(gone.any())))
+    for crowd, batches in ((50_000, 5), (2, 1)):
+        assert sort(suffix_dedup.remove_repeats(docs, window, 16, batches, crowd=crowd).collect()) == sort(want)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
 def test_runs_cover_every_window_once():
     text = bytes(random.Random(4).choices(b"abc", k=5000))
     for block in (1 << 19, 700):
-        h, first, last = suffix_dedup.runs(text, 50, 8, block)
+        _, first, last = suffix_dedup.runs(text, 50, 8, block)
         assert [s for a, b in zip(first, last) for s in range(a, b + 1)] == list(range(len(text) - 49))
 
 
