@@ -4,7 +4,8 @@ Inner products become distances: with one more component that brings all vectors
 largest inner product. Vectors are turned by a random rotation and dealt to the lists of a coarse quantiser. A probed list
 is scanned in blocks of columns: after d of D columns, what a random rotation leaves of the distance is known up to a factor
 1 + eps / sqrt(d), so candidates whose partial distance already speaks against them, given the query's current k-th best,
-are abandoned. What survives is scored exactly, on the original vectors.
+are abandoned. What survives is scored exactly, on the original vectors, and tightens the k-th best for what follows. How
+many lists a query probes is read off the fit sample: as many as hold WANT of the sample's own nearest neighbours.
 
 Equal vectors are one entry with its smallest ids: no more of them than a query can return matter. Lists are cut into
 blocks of bounded size, and so are the queries that probe one, so neither a common vector nor a hot list meets in a task.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Work
 
-SAMPLE, MAX_LISTS, PROBE_SHARE, MIN_PROBES, BLOCK_ROWS, ASKS, COLUMNS, EPS, SEED, ROUNDS = 20_000, 4096, 0.75, 16, 4096, 256, 16, 2.1, 3, 12
+SAMPLE, MAX_LISTS, WANT, JUDGES, MIN_PROBES, BLOCK_ROWS, ASKS, SOME, COLUMNS, EPS, SEED, ROUNDS = 20_000, 4096, 0.97, 256, 16, 4096, 256, 512, 16, 2.1, 3, 12
 
 
 def _kmeans(x: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
@@ -37,25 +38,28 @@ def _kmeans(x: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
     return c
 
 
-def _top(score: np.ndarray, ids: list[np.ndarray], k: int) -> list[int]:
-    """The entries, best first and ties by smallest id, whose ids make up the first k, ties at the end included."""
-    order = sorted(range(len(score)), key=lambda i: (-score[i], ids[i][0]))
-    out, held = [], 0
-    for i in order:
-        if held >= k and score[i] < score[out[-1]]:
-            break
-        out.append(i)
-        held += len(ids[i])
-    return out
+def _probes(x: np.ndarray, asks: np.ndarray, centres: np.ndarray, k: int, want: float = WANT) -> int:
+    """The lists that a query has to probe: so many that they hold want of the k nearest of the sample x (lifted), for some of its own vectors as queries (asks, lifted)."""
+    far = lambda a, b: (b**2).sum(1) - 2 * a @ b.T
+    step = max(1, len(asks) // JUDGES)
+    chosen = np.arange(0, len(asks), step)[:JUDGES]
+    at = np.concatenate([np.argmin(far(x[i : i + 4096], centres), axis=1) for i in range(0, len(x), 4096)])
+    rank = np.argsort(np.argsort(far(asks[chosen], centres), axis=1, kind="stable"), axis=1)
+    near = far(asks[chosen], x)
+    near[np.arange(len(chosen)), chosen] = np.inf
+    nearest = np.argsort(near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    needed = np.sort(np.take_along_axis(rank, at[nearest], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(want * len(needed)))]) + 1 if len(needed) else len(centres)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float = PROBE_SHARE, eps: float = EPS, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float | None = None, eps: float = EPS, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by every, the k rows of largest inner product found.
 
     Ties go to the smaller id; a query's own id is never its answer. Vectors that are null, zero, of another length than
     most (ties: the shorter), or that hold null or non-finite components take no part, as query or candidate; nor do null
-    ids. Repeated rows (id and vector) count once. An empty table gives no rows; other columns are ignored. The quantiser
-    is fit on at most SAMPLE vectors; every vector is indexed.
+    ids. Repeated rows (id and vector) count once; an id that stands by several vectors asks with each, and is an answer
+    with its best score. An empty table gives no rows; other columns are ignored. The quantiser and, unless probe_share
+    says which share of the lists to probe, the number of probes are fit on at most SAMPLE vectors; every vector is indexed.
     """
     spark = vectors.sparkSession
     work = Work(spark, "ads-search")
@@ -69,9 +73,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
     dim = sizes[0]["d"]
     rows = rows.filter(F.size("e") == dim)
     asked = rows.filter(F.col("id") % every == 0).select("id", "e").distinct()
-    # Of each vector its k + 1 smallest ids, cut before and after the shuffle.
-    nth = F.row_number().over(Window.partitionBy("e").orderBy("id"))
-    few = rows.withColumn("nth", nth).filter(F.col("nth") <= 4 * (k + 1)).groupBy("e").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
+    # Of each vector its k + 1 smallest ids, cut before and after the shuffle; rows that repeat an id have one rank.
+    nth = F.dense_rank().over(Window.partitionBy("e").orderBy("id"))
+    few = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("e").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     queries = rows.filter(F.col("id") % every == 0).groupBy("e").agg(F.lit(True).alias("asks"))
     entries = work.save(few.join(queries, "e", "left").select(F.monotonically_increasing_id().alias("g"), "e", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), "entries")
     n, longest = entries.agg(F.count("*"), F.max(F.aggregate("e", F.lit(0.0), lambda a, v: a + v * v))).first()
@@ -84,7 +88,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
         return np.hstack([x, extra[:, None]]) @ turn
 
     centres = _kmeans(lift(sample, False), lists)
-    probes = min(len(centres), max(MIN_PROBES, math.ceil(probe_share * len(centres))))
+    probes = math.ceil(probe_share * len(centres)) if probe_share else _probes(lift(sample, False), lift(sample, True), centres, k)
+    probes = min(len(centres), max(MIN_PROBES, probes))
     shared = spark.sparkContext.broadcast(centres)  # at most MAX_LISTS rows
 
     def nearest(x: np.ndarray, m: int) -> np.ndarray:
@@ -125,32 +130,43 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
     bounds = [(i, min(i + COLUMNS, dim + 1)) for i in range(0, dim + 1, COLUMNS)]
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"g": [], "score": [], "ids": []}
+        out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         if len(left) and len(right):
             x = np.vstack(right["e"])
-            ids, turned = list(right["ids"]), lift(x, False)
+            turned = lift(x, False)
+            a, b = bounds[0]
+            head = (turned[:, a:b] ** 2).sum(1)
             for at in range(0, len(left), ASKS):
                 some = left.iloc[at : at + ASKS]
                 gs, q = some["g"].to_numpy(), np.vstack(some["e"])
                 now, worst = lift(q, True), some["worst"].to_numpy()
-                # The k-th best so far, as a distance; none yet: any distance will do.
-                limit = np.where(np.isnan(worst), np.inf, (q * q).sum(1) + longest - 2 * worst)
-                qi, xi = np.nonzero(np.ones((len(q), len(x)), bool))
-                part = np.zeros(len(qi))
-                for a, b in bounds:
-                    part += ((turned[xi, a:b] - now[qi, a:b]) ** 2).sum(1)
-                    keep = part * ((dim + 1) / b) <= limit[qi] * (1 + eps / math.sqrt(b) * (b <= dim)) ** 2 + 1e-9
-                    qi, xi, part = qi[keep], xi[keep], part[keep]
-                score = (x[xi] * q[qi]).sum(1)
-                edges = np.searchsorted(qi, np.arange(len(q) + 1))
-                for j in range(len(q)):
-                    own = slice(edges[j], edges[j + 1])
-                    near, scores = xi[own], score[own]
-                    for i in _top(scores, [ids[m] for m in near], k + 1):
-                        out["g"].append(gs[j])
-                        out["score"].append(scores[i])
-                        out["ids"].append(ids[near[i]])
-        return pd.DataFrame({c: pd.Series(v, dtype=t) for (c, v), t in zip(out.items(), ("int64", "float64", object))})
+                own = (now[:, a:b] ** 2).sum(1)
+                # The least of the k + 1 best scores so far, as a distance; none yet: any distance will do.
+                tops, least = np.full((len(q), k + 1), -np.inf), np.where(np.isnan(worst), -np.inf, worst)
+                base, held = (q * q).sum(1) + longest, []
+                for m in range(0, len(x), SOME):
+                    limit = base - 2 * least
+                    part = own[:, None] + head[None, m : m + SOME] - 2 * now[:, a:b] @ turned[m : m + SOME, a:b].T
+                    qi, xi = np.nonzero(part * ((dim + 1) / b) <= limit[:, None] * (1 + eps / math.sqrt(b) * (b <= dim)) ** 2 + 1e-9)
+                    part = part[qi, xi]
+                    xi += m
+                    for c, d in bounds[1:]:
+                        part += ((turned[xi, c:d] - now[qi, c:d]) ** 2).sum(1)
+                        keep = part * ((dim + 1) / d) <= limit[qi] * (1 + eps / math.sqrt(d) * (d <= dim)) ** 2 + 1e-9
+                        qi, xi, part = qi[keep], xi[keep], part[keep]
+                    score = (x[xi] * q[qi]).sum(1)
+                    held.append((qi, xi, score))
+                    found = np.full((len(q), min(SOME, len(x) - m)), -np.inf)
+                    found[qi, xi - m] = score
+                    both = np.hstack([tops, found])
+                    tops = np.partition(both, both.shape[1] - k - 1, axis=1)[:, -k - 1 :]
+                    least = np.maximum(least, tops[:, 0])
+                qi, xi, score = map(np.concatenate, zip(*held))
+                keep = score >= least[qi]
+                out.append((gs[qi[keep]], score[keep], xi[keep]))
+        g, score, xi = map(np.concatenate, zip(*out))
+        ids = right["ids"].to_numpy()
+        return pd.DataFrame({"g": g, "score": score, "ids": pd.Series([ids[i] for i in xi], dtype=object)})
 
     keys, kind = ["list", "x", "q"], "g long, score double, ids array<long>"
     blocks = blocks.select(*keys, "e", "ids")
@@ -170,5 +186,5 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe_share: float
     found = best(start.union(more)).select("g", "score", F.col("id").alias("vec_id"))
     mine = asked.join(entries.select("g", "e"), "e").select(F.col("id").alias("query_id"), "g")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = mine.join(found, "g").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    hits = mine.join(found, "g").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return hits.select("query_id", "rank", "vec_id", "score")

@@ -313,3 +313,33 @@ def test_search(spark, none):
     assert ads_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert sort(r[:3] for r in ads_search.search(one).collect()) == [(0, 1, 20), (20, 1, 0)]
+
+
+def test_search_with_repeated_rows_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x[:40] = x[0]
+    rows = [(i, v.tolist(), 1, "e", 0.5, 7) for i, v in enumerate(x)] + [(1, x[1].tolist(), 1, "e", 0.5, 7)] * 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, g int, e string, score double, list int").repartition(5)
+    out = sorted(ads_search.search(df, 20, 20, probe_share=1.0, eps=50.0, lists=3).collect(), key=lambda r: (r["query_id"], r["rank"]))
+    for q in (0, 20, 40):
+        s = x @ x[q]
+        want = [i for i in sorted(range(60), key=lambda i: (-round(s[i], 9), i)) if i != q][:20]
+        assert [r["vec_id"] for r in out if r["query_id"] == q] == want
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sort(ads_search.search(two).collect()) == [(0, 1, 1, 3.0), (0, 2, 2, 1.0)]
+
+
+def test_recall_on_vectors_without_clusters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    found = collections.defaultdict(set)
+    for r in ads_search.search(df).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(found[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
