@@ -182,31 +182,58 @@ def test_lm_scores(docs, rows, none):
     c = collections.Counter(w for i, t in rows if not out_of(i) for w in tok(t))
     n, v = sum(c.values()), len(c)
     want = sort((i, out_of(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tok(t)), 4)) for i, t in rows)
-    for head in (100_000, 50):
-        out = brown_lm.lm_scores(docs, head=head).collect()
+    for head in (100_000, 50, 0):
+        scored, lexicon = brown_lm.brown_lm(docs, head=head, classes=12, shapes=2)
+        out = scored.collect()
         assert sort((*r[:5], round(r["base_score"], 4)) for r in out) == want
-        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
+        # The class model's score by its definition, from the classes that the model gave the words.
+        of = {bytes(r["w"]): (r["c"], r["class"]) for r in lexicon.collect()}
+        assert {w: k for w, (k, _) in of.items()} == {w: k for w, k in c.items() if w is not None}
+        assert all(g == brown_lm.shape(w, 12, 2) for w, (k, g) in of.items() if k == 1 and head < 100) and all(0 < g < 12 for _, g in of.values())
+        kind = lambda w: 0 if w is None else of[w][1] if w in of else brown_lm.shape(w, 12, 2)
+        moves, size, types = np.zeros((12, 12)), np.zeros(12), np.zeros(12)
+        for i, t in rows:
+            if not out_of(i):
+                seq = [0, *map(kind, tok(t))]
+                np.add.at(moves, (seq[:-1], seq[1:]), 1)
+        for w, m in c.items():
+            size[kind(w)] += m
+            types[kind(w)] += 1
+        prior = (moves.sum(0) + 1) / (moves.sum() + 12)
+
+        def score(t):
+            p, at = 0.0, 0
+            for w in tok(t):
+                g = kind(w)
+                p += math.log10((moves[at, g] + brown_lm.PRIOR * prior[g]) / (moves[at].sum() + brown_lm.PRIOR))
+                p += math.log10((c[w] + 0.1) / (size[g] + 0.1 * (types[g] + 1)))
+                at = g
+            return p
+
+        assert sort((str(r["doc_id"]), round(r["score"], 4)) for r in out) == sort((str(i), round(score(t), 4)) for i, t in rows)
     assert brown_lm.lm_scores(none).count() == 0
 
 
-def test_exchange_ends_where_no_move_raises_the_likelihood():
+def test_exchange_finds_the_classes_and_no_single_move_is_better(spark):
     rng = np.random.default_rng(1)
-    kind = rng.integers(0, 3, 40)
-    pairs = rng.poisson(np.where(kind[:, None] == kind[None], 30, 1)).astype(float)
-    pairs[-1] = pairs[:, -1] = 1
-
-    def likelihood(of):
-        total = lambda a: (a * np.log(np.maximum(a, 1))).sum()
-        n = np.eye(4)[of].T @ pairs @ np.eye(4)[of]
-        return total(n) - total(n.sum(0)) - total(n.sum(1))
-
-    of = brown_lm.exchange(pairs, 4, 30)
-    assert of[-1] == 0 and 0 not in of[:-1]
-    for u in range(39):
+    words, classes = 40, 5
+    kind = rng.integers(0, 3, words)
+    follow = (kind + 1) % 3
+    pairs = rng.poisson(np.where(follow[:, None] == kind[None], 40, 1)).astype(int)
+    rows = [(a, b, True, int(pairs[a, b])) for a in range(words) for b in range(words) if pairs[a, b]]
+    rows += [(b, a, False, n) for a, b, _, n in rows] + [(a, words, True, 1) for a in range(words)] + [(a, words, False, 1) for a in range(words)]
+    table = spark.createDataFrame(rows, "w int, o int, after boolean, n long").repartition(3, "w").sortWithinPartitions("w")
+    of, n = brown_lm.exchange(brown_lm.Work(spark, "t"), table, words, classes, 1, 30)
+    whole = np.ones((words + 1, words + 1))
+    whole[:words, :words], whole[words, words] = pairs, 0
+    hot = np.eye(classes)[of]
+    assert (n == hot.T @ whole @ hot).all() and of[-1] == 0 and set(of[:-1]) <= {1, 2, 3}
+    assert len(set(zip(kind, of))) == 3
+    for u in range(words):
         for k in (1, 2, 3):
             moved = of.copy()
             moved[u] = k
-            assert likelihood(moved) <= likelihood(of) + 1e-6
+            assert brown_lm.likelihood(np.eye(classes)[moved].T @ whole @ np.eye(classes)[moved]) <= brown_lm.likelihood(n) + 1e-6
 
 
 def test_kd_shards(docs, rows, none):
