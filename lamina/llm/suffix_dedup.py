@@ -9,10 +9,10 @@ Documents come in batches. A batch's suffixes, ordered by their leading GRAM byt
 one. The array is scanned, then merge-scanned with each level, in the order of the bytes: neighbours that share GRAM bytes
 are suffixes that a long match may hold. Levels of equal size merge, so an entry is rewritten a logarithmic number of times.
 
-Suffixes found alike are then compared by their runs' bytes. A run whose whole stretch of bytes occurs twice is a repeat
-throughout. Of the others, at the ends of passages, each window is looked up among the windows of the runs that begin with
-the same suffix bytes: one group of runs after the other, or, where more than CROWD different runs begin alike, window by
-window through the cluster.
+Among suffixes alike, those whose runs have one digest (128 bits of the whole stretch, the anchor's place included) lie
+side by side: such a run is a repeat throughout. Of the others, at the ends of passages, the bytes are fetched, and each
+window is looked up among the windows of the runs that begin alike, one run of each digest: a group of runs after the
+other, or, where more than CROWD different runs begin alike, window by window through the cluster.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, raw_texts
 
-WINDOW, GRAM, BATCHES, BLOCK, CROWD = 400, 64, 4, 1 << 19, 50_000
+WINDOW, GRAM, BATCHES, BLOCK, CROWD = 400, 64, 2, 1 << 19, 50_000
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -82,48 +82,68 @@ def runs(text: bytes, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK
     return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(lasts)
 
 
-ENTRY = "p binary, doc_id long, th long, pos int, first int, last int"
-PLACE = ["doc_id", "th", "pos", "first", "last"]
+ENTRY = "p binary, d1 long, d2 long, doc_id long, th long, pos int, first int, last int"
+ALIKE = "ph long, doc_id long, th long, pos int, first int, last int, whole boolean, lead boolean"
 
 
 def suffixes(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """An entry for each run of keyed (doc_id, th, text): p (the suffix's leading bytes), doc_id, th, pos (of the anchor), first, last."""
+    """An entry for each run of keyed (doc_id, th, text): p (the suffix's leading bytes), d1, d2 (digest of the run), doc_id, th, pos (of the anchor), first, last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead, rows = [], ([], [], [], [])
+            lead, digests, rows = [], [], ([], [], [], [])
             for i, t in enumerate(batch.column(2)):
                 text = t.as_py()
                 pos, first, last = runs(text, window, gram)
                 if len(pos):
-                    lead += [text[a : a + gram] for a in pos.tolist()]
+                    places = list(zip(pos.tolist(), first.tolist(), last.tolist()))
+                    lead += [text[p : p + gram] for p, _, _ in places]
+                    digests += [xxhash.xxh3_128_digest(text[a : b + window], seed=p - a) for p, a, b in places]
                     for to, x in zip(rows, (np.full(len(pos), i), pos, first, last)):
                         to.append(x)
             if lead:
                 i, pos, first, last = map(np.concatenate, rows)
-                own = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (pos, first, last))], names=["p", *PLACE])
+                own, d = pa.array(i), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(d[:, 0]), pa.array(d[:, 1]), batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (pos, first, last))], names=["p", "d1", "d2", "doc_id", "th", "pos", "first", "last"])
 
     return keyed.select("doc_id", "th", "text").mapInArrow(run, ENTRY)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries in the order of p: those whose neighbour has the same p. The first and last of a part always pass, for the part beside it may go on."""
-    held, linked = None, True
+    """Of entries in the order of p and digest, those whose neighbour has the same p: ph (hash of p), their places, whether
+    a neighbour has the same digest too (whole), and whether they are the first of their digest (lead).
+
+    The first and last entry of a part always pass, for the part beside it may go on. A task may read several parts.
+    """
+
+    def next_to(column: pa.Array, how=pc.equal) -> np.ndarray:
+        n = len(column)
+        same = how(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        return np.concatenate(([False], same, [False]))
+
+    def out(rows: pa.RecordBatch, pick: np.ndarray, whole: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        own = rows.filter(pa.array(pick))
+        ph = np.array([xxhash.xxh3_64_intdigest(p) for p in own.column(0).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ph), *own.columns[3:8], pa.array(whole[pick]), pa.array(lead[pick])], names=["ph", *own.schema.names[3:8], "whole", "lead"])
+
+    held, before = None, (True, False, True)  # whether the held entry is alike, whole, first of its digest, seen from what precedes
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        p, n = rows.column(0), rows.num_rows
-        same = pc.equal(p.slice(1), p.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
-        pick = np.zeros(n, bool)
-        pick[:-1] |= same
-        pick[1:] |= same
-        pick[0] |= linked
-        yield rows.slice(0, n - 1).filter(pa.array(pick[:-1]))
-        held, linked = rows.slice(n - 1), bool(pick[-1])
+        edge = next_to(rows.column(8), pc.not_equal) | next_to(rows.column(0), pc.less)
+        p = next_to(rows.column(0)) & ~edge
+        d = p & next_to(rows.column(1)) & next_to(rows.column(2))
+        alike, whole, lead = p[:-1] | p[1:] | edge[:-1] | edge[1:], d[:-1] | d[1:], ~d[:-1]
+        alike[0] |= before[0]
+        whole[0] |= before[1]
+        lead[0] = before[2]
+        pick = alike.copy()
+        pick[-1] = False
+        yield out(rows, pick, whole, lead)
+        held, before = rows.slice(rows.num_rows - 1), (bool(alike[-1]), bool(whole[-1]), bool(lead[-1]))
     if held is not None:
-        yield held
+        yield out(held, np.ones(1, bool), np.array([before[1]]), np.array([before[2]]))
 
 
 class SuffixIndex:
@@ -140,17 +160,16 @@ class SuffixIndex:
 
     @staticmethod
     def _ordered(entries: DataFrame) -> DataFrame:
-        """In the order of the suffixes' bytes, dealt by ranges; th and first split the range of a p that many share."""
-        return entries.repartitionByRange("p", "th", "first").sortWithinPartitions("p", "th", "first")
+        """In the order of the suffixes' bytes, dealt by ranges; digest, th and first split the range of a p that many share."""
+        key = ["p", "d1", "d2", "th", "first"]
+        return entries.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
 
     def _array(self, entries: DataFrame) -> tuple[str, DataFrame]:
         name = self._name("level")
         return name, self.work.save(self._ordered(entries), name)
 
     def _alike(self, ordered: DataFrame) -> DataFrame:
-        """Entries alike, each with n, the number of rows it stands for; what a part's edges let pass goes if nothing is alike."""
-        found = ordered.mapInArrow(_scan, ENTRY).groupBy("p", *PLACE).agg(F.count("*").alias("n"))
-        return self.work.save(found, self._name("alike"))
+        return self.work.save(ordered.mapInArrow(_scan, ALIKE), self._name("alike"))
 
     def insert(self, keyed: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, th, text); returns the entries, of it and of the levels, that begin like another one.
@@ -161,16 +180,19 @@ class SuffixIndex:
         entries = self.work.save(suffixes(keyed, self.window, self.gram), raw)
         name, array = self._array(entries)
         self.work.drop(raw)
-        found, size, below = [self._alike(array)], 1, list(self.levels)
+        found, size, below = [], 1, list(self.levels)
         while below and below[-1][0] == size:  # levels of equal size merge, and the merged array is scanned as it is written
             _, old, level = below.pop()
-            merged, both = self._array(array.unionByName(level))
+            merged, both = self._array(array.unionByName(level).drop("part"))
             found.append(self._alike(both))
             self.work.drop(name)
             self.work.drop(old)
+            self.work.forget()
             name, array, size = merged, both, 2 * size
         for _, _, level in below:  # larger levels stay as they are
-            found.append(self._alike(self._ordered(array.unionByName(level))))
+            found.append(self._alike(self._ordered(array.unionByName(level).drop("part"))))
+        if not found:
+            found.append(self._alike(array))
         self.levels = [*below, (size, name, array)]
         alike = found[0]
         for more in found[1:]:
@@ -179,12 +201,12 @@ class SuffixIndex:
         return alike
 
 
-REGION = "d1 long, d2 long, p binary, own binary, doc_id long, th long, first int, last int, at int"
+REGION = "ph long, own binary, at int, n int, doc_id long, th long, first int, last int"
 
 
-def _regions(joined: DataFrame, window: int, gram: int) -> DataFrame:
-    """The bytes (own) of the runs to be compared, with their digest d1, d2, p, doc_id, th, first, last, at (of the anchor in own)."""
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+def _regions(joined: DataFrame, window: int) -> DataFrame:
+    """The bytes (own) of the runs to be compared, with ph, at (the anchor's place in own), n (2: the whole run occurs twice), doc_id, th, first, last."""
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     names = [c.split()[0] for c in REGION.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +215,7 @@ def _regions(joined: DataFrame, window: int, gram: int) -> DataFrame:
             for i, th, t, todo in zip(*(batch.column(k) for k in range(4))):
                 text, i, th = t.as_py(), i.as_py(), th.as_py()
                 for r in todo.as_py():
-                    own, at = text[r["first"] : r["last"] + window], r["pos"] - r["first"]
-                    d = np.frombuffer(xxhash.xxh3_128_digest(own, seed=at), np.int64)
-                    rows.append((int(d[0]), int(d[1]), own[at : at + gram], own, i, th, r["first"], r["last"], at))
+                    rows.append((r["ph"], text[r["first"] : r["last"] + window], r["pos"] - r["first"], 1 + r["whole"], i, th, r["first"], r["last"]))
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
                     rows = []
@@ -224,7 +244,7 @@ def _repeated(rows: list[dict], window: int) -> Iterator[tuple]:
 
 
 def _compared(kinds: DataFrame, window: int) -> DataFrame:
-    """Repeated windows, group by group of equal p: rows come sorted by p, and one group at a time is held."""
+    """Repeated windows, group by group of equal ph: rows come sorted by it, and one group at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
@@ -235,11 +255,12 @@ def _compared(kinds: DataFrame, window: int) -> DataFrame:
         held, found, p = [], [], None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["p"] != p:
+                if r["ph"] != p:
                     if len(held) > 1:
                         found += _repeated(held, window)
-                    held, p = [], r["p"]
-                held.append(r)
+                    held, p = [], r["ph"]
+                if not held or any(r[c] != held[-1][c] for c in ("doc_id", "th", "first")):  # rows that repeat a doc_id and text send their runs again
+                    held.append(r)
             if len(found) > 50_000:
                 yield out(found)
                 found = []
@@ -257,38 +278,37 @@ def _windows(kinds: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for r in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
                 many = range(r["last"] - r["first"] + 1)
-                cols = [[r["own"][k : k + window] for k in many], [r["at"] - k for k in many], [min(r["n"], 2)] * len(many), [r["doc_id"]] * len(many), [r["th"]] * len(many), [r["first"] + k for k in many]]
+                cols = [[r["own"][k : k + window] for k in many], [r["at"] - k for k in many], [r["n"]] * len(many), [r["doc_id"]] * len(many), [r["th"]] * len(many), [r["first"] + k for k in many]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["w", "x", "n", "doc_id", "th", "start"])
 
     return kinds.mapInArrow(run, "w binary, x int, n int, doc_id long, th long, start int")
 
 
-def repeats(work: Work, keyed: DataFrame, alike: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, th, first, last: the repeated window starts among the runs of entries found alike, compared by their bytes."""
-    twice = alike.groupBy("p").agg(F.sum("n").alias("m")).filter("m > 1").select("p")
-    todo = alike.join(twice, "p", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "first", "last")).alias("todo"))
+def repeats(work: Work, keyed: DataFrame, alike: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+    """doc_id, th, first, last: the repeated window starts among the runs of entries found alike.
+
+    Rows that repeat a doc_id and text (of one th) are one place here: whoever asks adds them.
+    """
+    place = ["doc_id", "th", "first", "last"]
+    # What one scan says of an entry, or of one of two rows of a doc_id and text, holds.
+    seen = work.save(alike.groupBy("ph", "pos", *place).agg(F.max("whole").alias("whole"), F.max("lead").alias("lead")), "seen")
+    whole = seen.filter("whole").select(*place)
+    open_ = seen.filter("lead").groupBy("ph").agg(F.min("whole").alias("closed"), F.count("*").alias("m")).filter("not closed and m > 1").select("ph", (F.col("m") > crowd).alias("crowded"))
+    open_ = work.save(open_, "open")  # read anew, so that the join deals both sides and can split a hot one
+    todo = seen.filter("lead").join(open_, "ph", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("ph", "pos", "first", "last", F.col("whole").cast("int").alias("whole"))).alias("todo"))
     todo = work.save(todo, "todo")
+    work.forget()
     joined = keyed.join(todo, _same(keyed, todo)).select(keyed["doc_id"], keyed["th"], "text", "todo")
-    regions = work.save(_regions(joined, window, gram), "regions")
+    regions = work.save(_regions(joined, window), "regions")
     work.forget()
-    # Equal digests are held against the bytes: should two stretches share one, the stretches themselves are the key.
-    one = F.min(F.struct("doc_id", "th", "first", "last")).alias("one")
-    check = [F.min("own").alias("own"), F.max("own").alias("other"), F.first("p").alias("p"), F.first("at").alias("at"), F.count("*").alias("n"), one]
-    key = ["d1", "d2"]
-    kinds = work.save(regions.groupBy(*key).agg(*check), "kinds")
-    if not kinds.filter("own <> other").isEmpty():
-        key = ["own", "at"]
-        kinds = work.save(regions.groupBy(*key).agg(F.first("p").alias("p"), F.count("*").alias("n"), one), "kinds-by-bytes")
-    whole = regions.join(kinds.filter("n > 1").select(*key), key, "left_semi").select("doc_id", "th", "first", "last")
-    open_ = kinds.groupBy("p").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("least = 1 and m > 1").select("p", (F.col("m") > crowd).alias("crowded"))
-    open_ = work.save(open_, "open")  # read anew, so that the join deals both sides and can split a hot p
-    some = kinds.join(open_, "p").select("p", "own", "at", "n", "one.doc_id", "one.th", "one.first", "one.last", "crowded")
-    edge = _compared(some.filter("not crowded").drop("crowded").repartition("p").sortWithinPartitions("p"), window)
-    if not open_.filter("crowded").isEmpty():
-        seen = work.save(_windows(some.filter("crowded").drop("crowded"), window), "windows")
-        again = seen.groupBy("w", "x").agg(F.sum("n").alias("places")).filter("places > 1").select("w", "x")
-        edge = edge.union(seen.filter("n = 1").join(again, ["w", "x"], "left_semi").select("doc_id", "th", F.col("start").alias("first"), F.col("start").alias("last")))
-    return whole.union(edge)
+    order = ["ph", "th", "first", "doc_id"]
+    if open_.filter("crowded").isEmpty():
+        return whole.union(_compared(regions.repartition("ph").sortWithinPartitions(*order), window))
+    marked = regions.join(open_, "ph")
+    edge = _compared(marked.filter("not crowded").drop("crowded").repartition("ph").sortWithinPartitions(*order), window)
+    parts = work.save(_windows(marked.filter("crowded").drop("crowded").distinct(), window), "windows")
+    again = parts.groupBy("w", "x").agg(F.sum("n").alias("places")).filter("places > 1").select("w", "x")
+    return whole.union(edge).union(parts.filter("n = 1").join(again, ["w", "x"], "left_semi").select("doc_id", "th", F.col("start").alias("first"), F.col("start").alias("last")))
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -312,7 +332,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
 
     Every byte goes that a string of window bytes covers which starts anywhere else too, in this document or another;
     windows may overlap, and are judged on the input. Null texts are empty, texts shorter than a window lose nothing.
-    Rows that repeat a doc_id and text are places of their own. Null doc_ids are allowed; an empty table gives no rows;
+    Rows that repeat a doc_id and text are places of their own, and so lose all if a window fits in. Null doc_ids are allowed; an empty table gives no rows;
     other columns are ignored. The documents enter the index in as many batches as asked for, dealt by their texts' hash.
     """
     work = Work(docs.sparkSession, "suffix-dedup")
@@ -321,11 +341,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     for b in range(batches):
         more = index.insert(keyed.filter(F.pmod(F.xxhash64("th"), F.lit(batches)) == b))
         alike = more if alike is None else alike.unionByName(more)
-    alike = work.save(alike.groupBy("p", *PLACE).agg(F.max("n").alias("n")), "found")
     for _, name, _ in index.levels:
         work.drop(name)
-    places = repeats(work, keyed, alike, window, gram, crowd)
-    cut = work.save(places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
+    places = repeats(work, keyed, alike, window, crowd)
+    twice = keyed.select("doc_id", "th", F.octet_length("text").alias("size")).groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    twice = twice.filter((F.col("n") > 1) & (F.col("size") >= window)).select("doc_id", "th", F.lit(0).alias("first"), (F.col("size") - window).alias("last"))
+    cut = work.save(places.union(twice).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
     work.forget()
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,6 +169,18 @@ def test_remove_repeats(docs, rows, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_scan_of_parts_read_in_any_order():
+    import pyarrow as pa
+
+    names = ["p", "d1", "d2", "doc_id", "th", "pos", "first", "last", "part"]
+    rows = [(b"c", 1, 1, 5, 0, 0, 0, 0, 1), (b"d", 1, 1, 6, 0, 0, 0, 0, 1), (b"e", 1, 1, 7, 0, 0, 0, 0, 1), (b"a", 1, 1, 1, 0, 0, 0, 0, 0), (b"b", 1, 1, 2, 0, 0, 0, 0, 0), (b"b", 2, 1, 3, 0, 0, 0, 0, 0), (b"b", 2, 1, 9, 0, 0, 0, 0, 0), (b"c", 1, 1, 4, 0, 0, 0, 0, 0)]
+    for size in (1, 3, 8):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], names=names) for k in range(0, len(rows), size)]
+        out = [r for b in suffix_dedup._scan(iter(batches)) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in out] == [5, 7, 1, 2, 3, 9, 4]
+        assert [r["whole"] for r in out] == [False] * 4 + [True] * 1 + [True, False] and [r["lead"] for r in out] == [True] * 5 + [False, True]
+
+
 def test_runs_cover_every_window_once():
     text = bytes(random.Random(4).choices(b"abc", k=5000))
     for block in (1 << 19, 700):
@@ -182,14 +194,14 @@ def test_lm_scores(docs, rows, none):
     c = collections.Counter(w for i, t in rows if not out_of(i) for w in tok(t))
     n, v = sum(c.values()), len(c)
     want = sort((i, out_of(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tok(t)), 4)) for i, t in rows)
-    for head in (100_000, 50, 0):
-        scored, lexicon = brown_lm.brown_lm(docs, head=head, classes=12, shapes=2)
+    for head, swapped in ((100_000, 8192), (100_000, 40), (50, 30), (0, 30)):
+        scored, lexicon = brown_lm.brown_lm(docs, head=head, classes=12, shapes=2, swapped=swapped)
         out = scored.collect()
         assert sort((*r[:5], round(r["base_score"], 4)) for r in out) == want
         # The class model's score by its definition, from the classes that the model gave the words.
         of = {bytes(r["w"]): (r["c"], r["class"]) for r in lexicon.collect()}
         assert {w: k for w, (k, _) in of.items()} == {w: k for w, k in c.items() if w is not None}
-        assert all(g == brown_lm.shape(w, 12, 2) for w, (k, g) in of.items() if k == 1 and head < 100) and all(0 < g < 12 for _, g in of.values())
+        assert all(g == brown_lm.shape(w, 12, 2) for w, (k, g) in of.items() if k == 1) and all(0 < g < 12 for _, g in of.values())
         kind = lambda w: 0 if w is None else of[w][1] if w in of else brown_lm.shape(w, 12, 2)
         moves, size, types = np.zeros((12, 12)), np.zeros(12), np.zeros(12)
         for i, t in rows:
@@ -222,7 +234,7 @@ def test_exchange_finds_the_classes_and_no_single_move_is_better(spark):
     pairs = rng.poisson(np.where(follow[:, None] == kind[None], 40, 1)).astype(int)
     rows = [(a, b, True, int(pairs[a, b])) for a in range(words) for b in range(words) if pairs[a, b]]
     rows += [(b, a, False, n) for a, b, _, n in rows] + [(a, words, True, 1) for a in range(words)] + [(a, words, False, 1) for a in range(words)]
-    table = spark.createDataFrame(rows, "w int, o int, after boolean, n long").repartition(3, "w").sortWithinPartitions("w")
+    table = spark.createDataFrame([(w, 2 * o + after, n) for w, o, after, n in rows], "w int, x int, n long").repartition(3, "w").sortWithinPartitions("w")
     of, n = brown_lm.exchange(brown_lm.Work(spark, "t"), table, words, classes, 1, 30)
     whole = np.ones((words + 1, words + 1))
     whole[:words, :words], whole[words, words] = pairs, 0
