@@ -1,14 +1,14 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is halved until its leaves are short; leaves are encoded as they stand (a piece of up to LEAF_BYTES by the library's
-merge loop) and neighbours are joined up the tree. What a join keeps is proven stable:
+A text is halved until its leaves are short; leaves are encoded as they stand, by the definition, and neighbours are joined up the tree. What a join keeps is proven stable:
 
 * Pieces (matches of the pattern). A piece of the left half is kept if it ends three characters or more before the half
   does, for the pattern never looks further ahead. From there the pattern is run again, over a window that grows piece by
   piece, until it stands on a piece boundary of the right half: from such a place on a scan depends on what follows only.
 * Tokens inside one piece. The bytes around the seam are encoded again, over a window that grows on both sides, until the
   window's outer tokens fit the tokens outside it: a sequence is the BPE encoding of its bytes if and only if each pair of
-  neighbours is the encoding of the pair's own bytes.
+  neighbours is the encoding of the pair's own bytes. A window that reaches both ends is the piece itself, merged pair by
+  pair from a heap, in n log n steps: so a run of one character, whose tokens shift with its length, costs no more.
 
 Decoding concatenates the tokens' bytes up the same kind of tree.
 """
@@ -22,16 +22,16 @@ import struct
 import sys
 import types
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import raw_texts
 
-LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS, LOOK = 2048, 24, 1 << 16, 3
+LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS, LOOK, SHORT = 2048, 24, 1 << 16, 3, 64
 CACHED = 300_000
 _NONE = 1 << 62
 #: Latin letters, ASCII digits and marks: texts of these alone are split by a plainer pattern that says the same of them.
@@ -47,7 +47,6 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         self.ranks, self.full, self.leaf_chars, self.leaf_bytes = ranks, regex.compile(pattern), max(leaf_chars, 1), max(leaf_bytes, 1)
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece  # a leaf that is a whole piece
         self.fast = _FAST if pattern == _GPT2 else None
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.byte_id = [ranks[bytes([c])] for c in range(256)]
@@ -87,6 +86,8 @@ class Bpe:
 
     def _merge(self, piece: bytes) -> list[int]:
         """By the definition: the pair of least rank is merged, the leftmost first, until none is left."""
+        if len(piece) > SHORT:
+            return self._merge_long(piece)
         parts, merged = [self.byte_id[c] for c in piece], self.merged.get
         near = [merged(x << 32 | y, _NONE) for x, y in zip(parts, parts[1:])]
         while near:
@@ -102,6 +103,26 @@ class Bpe:
                 near[k - 1] = merged(parts[k - 1] << 32 | least, _NONE)
         return parts
 
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same in n log n steps: pairs wait in a heap, parts are linked."""
+        n, merged = len(piece), self.merged.get
+        parts, after, before = [self.byte_id[c] for c in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := merged(parts[k] << 32 | parts[k + 1])) is not None]
+        heapify(heap)
+        while heap:
+            least, k = heappop(heap)
+            j = after[k]
+            if parts[k] < 0 or j >= n or merged(parts[k] << 32 | parts[j]) != least:
+                continue  # one of the pair has gone into another since
+            parts[k], parts[j], after[k] = least, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = k
+                if (r := merged(least << 32 | parts[after[j]])) is not None:
+                    heappush(heap, (r, k))
+            if before[k] >= 0 and (r := merged(parts[before[k]] << 32 | least)) is not None:
+                heappush(heap, (r, before[k]))
+        return [p for p in parts if p >= 0]
+
     def _fit(self, x: int, y: int) -> bool:
         """Whether two neighbours are the encoding of their bytes."""
         if (known := self.fits.get(x << 32 | y)) is None:
@@ -135,7 +156,7 @@ class Bpe:
         if (whole := self.ranks.get(raw)) is not None:
             ids = [whole]
         else:
-            ids = self.leaf(raw) if len(raw) <= self.leaf_bytes else self.tokens(raw)
+            ids = self.tokens(raw)
         code = b"".join([self.packed[i] for i in ids])
         if len(self.codes) < CACHED and len(piece) <= 64:
             self.codes[piece] = code

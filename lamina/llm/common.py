@@ -82,6 +82,19 @@ def text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows of a table with (__id, __th) and a number that may be broadcast: 24 MB of keys and values.
+FEW_ROWS = 1_000_000
+
+
+def row_join(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """docs with marks (__id, __th, ...; a written table) on a row's doc_id and the hash of its text; null doc_ids meet too.
+
+    How many rows marks has is counted: up to FEW_ROWS are broadcast, so that no document moves; more are joined by a shuffle.
+    """
+    on = docs["doc_id"].cast("long").eqNullSafe(marks["__id"]) & (text_hash(docs) == marks["__th"])
+    return docs.join(F.broadcast(marks) if marks.count() <= FEW_ROWS else marks, on, how)
+
+
 def one_space(text: Column) -> Column:
     """Each run of ASCII white space as one space. Single spaces, most runs, are not matches and so cost nothing."""
     return F.regexp_replace(text, rf"[\t-\r][{WHITE}]*| [{WHITE}]+", " ")

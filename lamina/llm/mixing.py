@@ -1,10 +1,11 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier, fit on a table of labelled documents, predicts how far each document belongs to each domain. Nonnegative
-rates per document then minimise the squares of what the domains' expected tokens miss their targets by, and, lightly, of
-how far rates move from one, by projected gradient. A document's gradient depends on its posteriors and the domains'
-residuals alone: each round sums a few numbers per partition and sends back that many, and a document's rate is worked out
-from the residuals so far, so no state needs to be kept.
+rates per document then minimise the squares of what the domains' expected tokens miss their targets by (as a share of
+what each has), and, lightly, of how far rates move from one, by projected gradient. At the minimum a document's rate is
+max(0, 1 - posteriors . residuals / pull): it depends on one number a domain. So the descent goes over those numbers (a
+gradient step projected on nonnegative rates is a step for them): a round sums a few numbers per partition and sends back
+that many, and no state needs to be kept for a document. It goes on until the residuals that the rates leave are those the rates came from; what the totals then miss of their targets stands in the result.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, text_hash, texts
+from .common import Work, row_join, texts
 from .quality import STATISTICS, statistics
 
-SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, NEAR, CLOSE, STILL, SURE = 8_000, 64, 20.0, 200, 60, 1e-3, 1e-4, 0.01, 1e-6, 0.9
+SAMPLE, WORDS, TELLING, STEPS, ROUNDS, PULL, STILL, SURE = 8_000, 64, 20.0, 1000, 40, 1e-3, 1e-6, 0.9
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -65,7 +66,7 @@ def _telling_words(sample: DataFrame, domains: list[str], words: int) -> dict[by
 class Softmax:
     """Multinomial logistic regression over standardised features, by accelerated gradient descent."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, domains: int, steps: int = STEPS, ridge: float = 1e-4):
+    def __init__(self, x: np.ndarray, y: np.ndarray, domains: int, steps: int = STEPS, ridge: float = 1e-5):
         self.mean, std = x.mean(0), x.std(0)
         self.scale = 1 / np.where(std > 1e-9, std, 1)
         z, hot = self._z(x), np.eye(domains)[y]
@@ -99,7 +100,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     marks = labelled.filter(F.col("domain").isin(domains)).select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
     work = Work(docs.sparkSession, "posteriors")
-    fit = work.save(base.join(chosen, "doc_id").select("text", "domain"), "sample")
+    chosen = work.save(chosen, "chosen")  # sample rows at most: a broadcast of bounded size, so no text is shuffled to find them
+    fit = work.save(base.join(F.broadcast(chosen), "doc_id").select("text", "domain"), "sample")
     if fit.isEmpty():
         even = F.array(*[F.lit(1 / len(domains)) for _ in domains])
         n = F.size(F.filter(F.split(F.col("text").cast("string"), r"[ \t-\r]+"), lambda w: w != "")).cast("long")
@@ -126,59 +128,89 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     return base.mapInArrow(predict, "doc_id long, n_tokens long, p array<double>, th long")
 
 
-def rates_from(p: np.ndarray, steps: list[np.ndarray], pull: float = PULL) -> np.ndarray:
-    """The rates of documents with posteriors p after the projected-gradient steps along these residuals."""
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0, r - (p @ g + pull * (r - 1)) / (1 + pull))
-    return r
+def rates_from(p: np.ndarray, g: np.ndarray, pull: float = PULL) -> np.ndarray:
+    """The best rates of documents with posteriors p if g is what their domains miss."""
+    return np.maximum(0, 1 - p @ g / pull)
+
+
+def settle(totals, has: np.ndarray, aim: np.ndarray, pull: float = PULL, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """g whose rates leave the residuals g, what those rates achieve, and how far from g the residuals still are.
+
+    totals(g): expected tokens of each domain, and their derivatives by g, at rates_from(p, g). The problem's dual is
+    concave in g with a known curvature: Newton steps, halved until the dual doesn't fall, settle in a few rounds.
+    """
+    scale = np.maximum(has, 1e-9)
+    live = has > 0
+    g = np.zeros(len(has))
+    now, slope, value = totals(g)
+    miss = np.inf
+    for _ in range(rounds):
+        lack = np.where(live, (now - aim) / scale - g, 0)
+        miss = float(np.abs(lack).max())
+        if miss <= STILL:
+            break
+        step = np.linalg.solve(np.eye(len(g)) - np.where(live[:, None], slope / scale[:, None], 0), lack)
+        # The dual's value: to be raised. Its gradient is scale * lack.
+        dual = lambda v, x: v - aim @ x - 0.5 * scale @ x**2
+        was, size = dual(value, g), 1.0
+        while True:
+            there = totals(g + size * step)
+            if dual(there[2], g + size * step) >= was - 1e-12 * abs(was) or size < 1e-6:
+                break
+            size /= 2
+        g, (now, slope, value) = g + size * step, there
+    return g, now, miss
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | str | None = None, pull: float = PULL, keyed: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, posteriors (in the order of targets), rate (0 or more), and
-    the text's hash th if keyed.
+    """One row per row of docs: doc_id, n_tokens, posteriors (in the order of targets), rate (0 or more), missed (what the
+    rates' expected tokens miss of each domain's aim, as a share of the aims' sum), and the text's hash th if keyed.
 
     targets: the weight of each domain. budget: the expected tokens of the mix; a domain's name stands for the budget at
     which that domain's target is what it has, None for as many tokens as there are. Empty texts have no tokens and the
-    rate that their posteriors give; a domain without tokens can't be raised and is left alone. An empty table gives no
-    rows; other columns are ignored.
+    rate that their posteriors give; a domain without tokens can't be raised and is left alone. Where the posteriors don't
+    allow the targets, the rates are those of the least squares, and missed is not zero. An empty table gives no rows;
+    other columns are ignored.
     """
     domains = list(targets)
     work = Work(docs.sparkSession, "mixing")
     known = work.save(posteriors(docs, labelled, domains), "posteriors")
+    m = len(domains)
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
+    def totals(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros(len(domains))
+            out = np.zeros(m + m * m + 1)
             for b in batches:
                 if b.num_rows:
-                    p = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                    s += (b.column(0).to_numpy() * rates_from(p, steps, pull)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(s)), pa.int32()), pa.array(s)], names=["k", "s"])
+                    p, n = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), b.column(0).to_numpy()
+                    r = rates_from(p, g, pull)
+                    some = p * (n * (r > 0))[:, None]
+                    out += np.concatenate([(n * r) @ p, -(some.T @ p).ravel() / pull, [n @ ((p @ g) * r + 0.5 * pull * (r - 1) ** 2)]])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out)], names=["k", "s"])
 
         got = {r["k"]: r["s"] for r in known.select("n_tokens", "p").mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
-        return np.array([got.get(k, 0.0) for k in range(len(domains))])
+        out = np.array([got.get(k, 0.0) for k in range(m + m * m + 1)])
+        return out[:m], out[m:-1].reshape(m, m), float(out[-1])
 
-    steps: list[np.ndarray] = []
-    has = now = totals(steps)
+    has = totals(np.zeros(m))[0]
     share = np.array([targets[d] for d in domains]) / sum(targets.values())
     if isinstance(budget, str):
         budget = has[domains.index(budget)] / share[domains.index(budget)]
     aim = share * (has.sum() if budget is None else budget)
-    for _ in range(ROUNDS if has.sum() else 0):
-        steps.append(np.where(has > 0, (now - aim) / np.maximum(has, 1e-9), 0))
-        was, now = now, totals(steps)
-        if np.all(np.abs(now - aim) <= np.minimum(NEAR * has.sum(), CLOSE * aim)) or np.abs(now - was).max() <= STILL * has.sum():
-            break
+    g, now, left = settle(totals, has, aim, pull) if has.sum() else (np.zeros(m), has, 0.0)
+    if left > 1e-3:
+        raise RuntimeError(f"the rates did not settle: residuals differ by {left:g}")
+    missed = F.array(*[F.lit(float(x)) for x in (now - aim) / max(aim.sum(), 1e-9)])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                r = rates_from(b.column(2).flatten().to_numpy().reshape(b.num_rows, -1), steps, pull)
+                r = rates_from(b.column(2).flatten().to_numpy().reshape(b.num_rows, -1), g, pull)
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(r), b.column(3)], names=["doc_id", "n_tokens", "posteriors", "rate", "th"])
 
     rated = known.mapInArrow(rate, "doc_id long, n_tokens long, posteriors array<double>, rate double, th long")
-    return rated if keyed else rated.drop("th")
+    shown = rated.withColumn("missed", missed)
+    return shown if keyed else shown.drop("th")
 
 
 def copies(rate: Column, least: Column | int = 0, *key: Column) -> Column:
@@ -196,6 +228,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     least = F.lit(0) if not isinstance(budget, str) else (F.element_at("posteriors", list(targets).index(budget) + 1) >= SURE).cast("int")
     key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
     number = copies(F.col("rate"), least, F.col("doc_id"), F.col("th"))
-    rates = mixing_rates(docs, labelled, targets, budget, keyed=True).groupBy(*key).agg(F.max(number).alias("__n")).filter("__n > 0")
-    joined = docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(rates["__id"]) & (text_hash(docs) == rates["__th"]))
+    rates = mixing_rates(docs, labelled, targets, budget, keyed=True).groupBy(*key).agg(F.max(number).alias("__n")).filter("__n <> 1")
+    joined = row_join(docs, Work(docs.sparkSession, "mix").save(rates, "copies"), "left").withColumn("__n", F.coalesce("__n", F.lit(1))).filter("__n > 0")
     return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__th", "__n", "__k")

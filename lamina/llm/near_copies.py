@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, raw_texts, text_hash
+from .common import Work, raw_texts, row_join
 from .components import components
 
 SEED, BANDS, ROWS, HOT, BLOCK, COLUMNS = 42, 28, 5, 32, 512, 8192
@@ -215,4 +215,4 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int =
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one document (the smallest doc_id) of each group of near copies; all columns stay, null doc_ids too."""
     gone = near_copies(docs, width, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__id"]) & (text_hash(docs) == gone["__th"]), "left_anti")
+    return row_join(docs, Work(docs.sparkSession, "keep-one").save(gone, "gone"), "left_anti")

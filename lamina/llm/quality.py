@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, crc_mod, raw_texts, text_hash
+from .common import Work, crc_mod, raw_texts, row_join
 
 FEATURES, RIDGE, SEED, GRID = 256, 1e-3, 7, 4096
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 white, 4 ASCII mark, 5 other
@@ -172,4 +172,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows scored below one half; all columns stay. Rows of one doc_id, or of none, are judged each by its text."""
     bad = quality_scores(docs, labels, keyed=True).filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (text_hash(docs) == bad["__th"]), "left_anti")
+    return row_join(docs, Work(docs.sparkSession, "keep-good").save(bad, "bad"), "left_anti")

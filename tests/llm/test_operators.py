@@ -144,6 +144,12 @@ def test_bpe(docs, rows, none):
         for t in odd:
             code = b.encode(t)
             assert code == np.array(enc.encode_ordinary(t), "<u4").tobytes() and b.decode(code) == t.encode()
+    import time
+
+    b, start = bpe.Bpe(ranks, P.PATTERN), time.perf_counter()
+    for t in ("-" * 20_001, "x" * 50_001, " " * 30_000 + "y", "ab" * 100_000, "é" * 9_999, "".join(rnd.choice("abcdefgh") for _ in range(60_000))):
+        assert b.encode(t) == np.array(enc.encode_ordinary(t), "<u4").tobytes()
+    assert time.perf_counter() - start < 20
     want = []
     for i, t in rows:
         ids = enc.encode_ordinary(t or "")
@@ -303,14 +309,36 @@ def test_mixing(spark, none):
     got = sum(r["n_tokens"] * r["rate"] * np.array(r["posteriors"]) for r in out)
     total = sum(r["n_tokens"] for r in out)
     assert np.allclose(got / total, [0.95, 0.05], atol=1e-3)
-    for r in out:  # the rates are the minimum: no gradient is left but against the bound
-        assert r["n_tokens"] == len((dict(rows)[r["doc_id"]] or "").split())
+    assert all(r["n_tokens"] == len((dict(rows)[r["doc_id"]] or "").split()) for r in out)
     mixed = mixing.mix(df, marks, {"fine": 0.999, "bad": 0.001}, budget="fine")
     left = [r["doc_id"] for r in mixed.collect()]
     assert mixed.columns == df.columns and sum(i % 4 == 0 for i in left if i < 400) < 10 and sum(i % 4 > 0 for i in set(left) if i < 400) > 290
     assert mixing.mixing_rates(none, marks, {"fine": 0.9, "bad": 0.1}).count() == 0
 
 
+def test_rates_are_the_minimum_of_a_dense_solver(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 150)
+    n = rng.integers(0, 300, 150).astype(float)
+    has = n @ p
+    for share in ([0.6, 0.3, 0.1], [0.98, 0.01, 0.01], [0.999, 0.001, 0.0]):
+        aim, pull = np.array(share) * has.sum(), mixing.PULL
+
+        def totals(g):
+            r = mixing.rates_from(p, g)
+            return (n * r) @ p, -((p * (n * (r > 0))[:, None]).T @ p) / pull, n @ ((p @ g) * r + 0.5 * pull * (r - 1) ** 2)
+
+        g, now, left = mixing.settle(totals, has, aim)
+        r = mixing.rates_from(p, g)
+        # Projected gradient on the rates themselves, long enough.
+        slow = fast = np.ones(150)
+        for k in range(40000):
+            was, slow = slow, np.maximum(0, fast - (p @ (((n * fast) @ p - aim) / has) + pull * (fast - 1)) / (1 + pull))
+            fast = slow + k / (k + 3) * (slow - was)
+        cost = lambda x: ((((n * x) @ p - aim) ** 2) / has).sum() + pull * (n * (x - 1) ** 2).sum()
+        assert left < 1e-5 and cost(r) <= cost(slow) * (1 + 1e-6) + 1e-9 and np.allclose(r[n > 0], slow[n > 0], atol=2e-2)
+
+
 def test_license_scan(spark, docs, rows, none):
     mit = license_scan.TEMPLATES["MIT"]
     words = mit.split()
