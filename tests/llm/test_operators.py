@@ -347,9 +347,40 @@ def test_license_scan(spark, docs, rows, none):
     assert out[1]["license"] == out[6]["license"] == "MIT" and out[1]["coverage"] == 1.0 and out[1]["first_word"] == 2
     assert out[2]["license"] == "MIT" and 0.85 < out[2]["coverage"] < 0.95
     assert out[3]["license"] == "MIT (line)" and out[4]["license"] is None and out[5]["coverage"] == 0.0
+    assert out[3]["places"] == 2
     assert license_scan.license_scan(docs).count() == len(rows) and license_scan.license_scan(none).count() == 0
 
 
+def test_licenses_with_foreign_words_and_several_copies():
+    rnd = random.Random(11)
+    scan = license_scan.Scanner(license_scan.TEMPLATES)
+    noise = lambda n: [f"x{rnd.randrange(999)}" for _ in range(n)]
+    for name in ("MIT", "BSD-2-Clause", "ISC", "GPL-3.0 (line)"):
+        t = license_scan.words_of(license_scan.TEMPLATES[name].encode())
+        for n in (0, 5, 12, 40, 100, 200):
+            n = min(n, 3 * len(t) - 1)
+            for scattered in (False, True):
+                out = list(t)
+                cuts = [rnd.randrange(1, len(t)) for _ in range(n)] if scattered else [len(t) // 2] * n
+                for c in sorted(cuts, reverse=True):
+                    out[c:c] = noise(1)
+                text = noise(30) + out + noise(30)
+                found = {f[0]: f for f in scan(" ".join(x if isinstance(x, str) else x.decode() for x in text).encode())}
+                assert found[name][1] == 1.0 and found[name][2] == 1, (name, n, scattered)
+        for copies in (2, 5):
+            text = " ".join(" ".join(w.decode() for w in t) for _ in range(copies))
+            assert {f[0]: f for f in scan(text.encode())}[name][2] == copies
+            gapped = f" {' '.join(noise(50))} ".join(" ".join(w.decode() for w in t) for _ in range(copies))
+            assert {f[0]: f for f in scan(gapped.encode())}[name][2] == copies
+    # Coverage held against the longest common subsequence of every stretch.
+    small = license_scan.Scanner({"t": "a b c d e a b f g h"}, 0.8, 6)
+    t = license_scan.words_of(b"a b c d e a b f g h")
+    for _ in range(300):
+        w = [rnd.choice(t + [b"z"]) for _ in range(rnd.randrange(30))]
+        best = max([license_scan._rows(w[i : i + 16], t)[-1] for i in range(len(w))], default=0)
+        assert bool(small(b" ".join(w))) == (best >= 8)
+
+
 def test_alignment_is_a_common_subsequence():
     rnd = random.Random(9)
     for _ in range(200):
