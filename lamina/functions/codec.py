@@ -94,24 +94,27 @@ def varint_length(n: Column) -> Column:
     size = F.lit(1)
     for k in range(1, 9):
         size = size + F.when(n >= F.lit(1 << (7 * k)), 1).otherwise(0)
-    return size
+    return F.when(n < 0, 10).otherwise(size)
 
 
 def varint(n: Column) -> Column:
-    """Seven bits a byte, least first, the top bit set on all but the last; n is at least 0."""
+    """Seven bits a byte, least first, the top bit set on all but the last; a negative n stands for n + 2 ** 64."""
     part = lambda i: F.call_function("shiftrightunsigned", n, 7 * i).bitwiseAND(F.lit(127))
     byte = lambda size, i: F.lpad(F.hex(part(i) + F.when(i + 1 < size, 128).otherwise(0)), 2, "0")
     return _once(varint_length(n), lambda size: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: byte(size, i)), "")))
 
 
 def read_varint(data: Column) -> Column:
-    """struct(value, size) of the varint that data begins with; null if it is cut short or longer than nine bytes."""
-    return _once(F.hex(F.substring(data, 1, 9)), _varint_hex)
+    """struct(value, size) of the varint that data begins with; null if it is cut short or longer than ten bytes.
+
+    A value of 2 ** 63 or more, ten bytes long, comes as the signed number of the same bits.
+    """
+    return _once(F.hex(F.substring(data, 1, 10)), _varint_hex)
 
 
 def _varint_hex(hexed: Column) -> Column:
-    ends = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (F.length(hexed) > 2 * i) & (F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long") < 128)), True).cast("int")
-    value = F.aggregate(F.sequence(F.lit(0), F.greatest(ends - 1, F.lit(0))), F.lit(0).cast("long"), lambda acc, i: acc + F.call_function("shiftleft", F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127)), 7 * i))
+    ends = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.length(hexed) > 2 * i) & (F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long") < 128)), True).cast("int")
+    value = F.aggregate(F.sequence(F.lit(0), F.greatest(ends - 1, F.lit(0))), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127)), 7 * i)))
     return F.when(ends > 0, F.struct(value.alias("value"), ends.alias("size")))
 
 
@@ -135,6 +138,77 @@ def footer(metaindex: Column, index: Column) -> Column:
     return F.concat(pad(metaindex), pad(index), F.lit(bytearray(TABLE_MAGIC.to_bytes(8, "little"))))
 
 
+def read_handle(data: Column) -> Column:
+    """struct(offset, size, length) of the handle that data begins with; null if it is cut short."""
+    rest = lambda d, head: _once(read_varint(F.substring(d, head["size"] + 1, F.lit(10))), lambda two: F.when(two.isNotNull(), F.struct(head["value"].alias("offset"), two["value"].alias("size"), (head["size"] + two["size"]).alias("length"))))
+    return _once(data, lambda d: _once(read_varint(d), lambda head: rest(d, head)))
+
+
+def read_footer(data: Column) -> Column:
+    """struct(metaindex, index), two handles; null if data has not 48 bytes that end in the magic number."""
+    whole = (F.octet_length(data) == 48) & (F.substring(data, 41, 8) == F.lit(bytearray(TABLE_MAGIC.to_bytes(8, "little"))))
+    return F.when(whole, F.struct(read_handle(F.substring(data, 1, 20)).alias("metaindex"), read_handle(F.substring(data, 21, 20)).alias("index")))
+
+
+def encode_entry(kind: Column, k: Column, v: Column) -> Column:
+    """An operation of a batch: type, and length-prefixed key and value (no value for a deletion)."""
+    head = F.concat(F.unhex(F.lpad(F.hex(kind.cast("long")), 2, "0")), length_prefixed(k))
+    return F.when(v.isNull(), head).otherwise(F.concat(head, length_prefixed(F.coalesce(v, F.lit(b"").cast("binary")))))
+
+
+def encode_batches(ops: DataFrame, batch: str = "batch_id", index: str = "op_idx") -> DataFrame:
+    """batch, count, size, data: each batch as its header (first sequence number, count) and its operations in order.
+
+    A batch is written and read whole, so it is the unit that has to fit into memory.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(index, encode_entry(F.col("type"), F.col("k"), F.col("v")).alias("data"))))
+    held = ops.groupBy(batch).agg(F.min("seq").alias("first"), F.count("*").alias("count"), rows.alias("rows"))
+    data = F.concat(fixed64(F.col("first")), fixed32(F.col("count")), F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["data"])), "")))
+    return held.select(batch, "count", data.alias("data")).withColumn("size", F.octet_length("data"))
+
+
+def decode_batches(batches: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """batch, op_idx, seq, type, k, v of encoded batches, in the order they have; rows of a torn batch are missing from where it is torn."""
+    import struct
+
+    import pyarrow as pa
+
+    def varint_at(data: bytes, at: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return n, at
+
+    def part(data: bytes, at: int) -> tuple[bytes, int]:
+        n, at = varint_at(data, at)
+        if at + n > len(data):
+            raise IndexError
+        return data[at : at + n], at + n
+
+    def run(batches):
+        for held in batches:
+            out = []
+            for name, data in zip(held.column(0).to_pylist(), held.column(1).to_pylist()):
+                if len(data) < 12:
+                    continue
+                (first, count), at = struct.unpack("<QI", data[:12]), 12
+                try:
+                    for i in range(count):
+                        kind = data[at]
+                        k, at = part(data, at + 1)
+                        v, at = part(data, at) if kind == 1 else (None, at)
+                        out.append((name, i, first + i, kind, k, v))
+                except IndexError:
+                    pass
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=[batch, "op_idx", "seq", "type", "k", "v"])
+
+    return batches.select(F.col(batch).cast("long").alias(batch), "data").mapInArrow(run, f"{batch} long, op_idx int, seq long, type int, k binary, v binary")
+
+
 def entry_size(k: Column, v: Column) -> Column:
     """Bytes of an encoded entry: type, and length-prefixed key and value (no value for a deletion)."""
     part = lambda x: varint_length(F.octet_length(x)) + F.octet_length(x)
@@ -188,6 +262,20 @@ def bloom_probe(keys: DataFrame, filters: DataFrame, by: list[str], bits: int, p
     return hit.groupBy(*keys.columns).agg(F.min(F.coalesce("is_set", F.lit(False))).alias("may_contain"))
 
 
+def bloom_pack(positions: DataFrame, by: list[str], bits: int, probes: int) -> DataFrame:
+    """One row a filter: by, num_bits, num_probes, bits (bytes, least bit first). positions: by, pos; combined in words of 32 bits, map-side."""
+    words = positions.groupBy(*by, F.expr("pos div 32").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 32).cast("int"))).alias("x"))
+    held = words.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
+    data = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((bits - 1) // 32).cast("long")), lambda w: F.hex(fixed32(F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))))), "")
+    return held.select(*by, F.lit(bits).cast("long").alias("num_bits"), F.lit(probes).alias("num_probes"), F.unhex(data).alias("bits"))
+
+
+def bloom_contains(bits: Column, data: Column, num_bits: int, probes: int) -> Column:
+    """Whether all of a key's bits are set in a packed filter."""
+    byte = lambda p: F.conv(F.hex(F.substring(bits, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.forall(bloom_positions(data, num_bits, probes), lambda p: F.call_function("shiftright", byte(p), (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
 # Blocks of a sorted run
 
 
@@ -218,11 +306,12 @@ def block_index(run: DataFrame, by: str = "number", block_size: int = 4096) -> D
 def approximate_offset(probes: DataFrame, index: DataFrame, by: str = "number") -> DataFrame:
     """k, by, offset for probes (k, by): where in its run a key would lie; behind all blocks, the run's size.
 
-    The least last_key at or after the probe is found by sorting probes and blocks of a run together.
+    The least last_key at or after the probe is found by sorting probes and blocks of a run together, from the greatest key
+    down, so that a frame only grows.
     """
     ends = index.groupBy(by).agg(F.max(F.col("offset") + F.col("size")).alias("total"))
     blocks = index.select(by, F.col("last_key").alias("k"), "offset", F.lit(0).alias("is_probe"))
     both = blocks.unionByName(probes.select(by, "k").distinct().withColumns({"offset": F.lit(None).cast("long"), "is_probe": F.lit(1)}))
-    ahead = Window.partitionBy(by).orderBy(F.col("k").asc(), F.col("is_probe").desc()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("at", F.first("offset", True).over(ahead)).filter("is_probe = 1")
+    ahead = Window.partitionBy(by).orderBy(F.col("k").desc(), F.col("is_probe").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("at", F.last("offset", True).over(ahead)).filter("is_probe = 1")
     return found.join(ends, by).select("k", by, F.coalesce("at", "total").alias("offset"))

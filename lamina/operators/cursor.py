@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import work_folder
 from .latest import live
 
 
@@ -77,22 +78,32 @@ def seek_prev(ops: DataFrame, target, seq: int | None = None) -> DataFrame:
     return scan(ops, hi=target, limit=1, seq=seq, reverse=True)
 
 
+def ranged(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows in ranges of k, written once with part, the range's number: whoever reads them twice sees the same bounds."""
+    spark = rows.sparkSession
+    parts = parts or spark.sparkContext.defaultParallelism
+    path = work_folder(spark, "ranged")
+    out = rows.repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id())
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def multi_seek(ops: DataFrame, probes: DataFrame, seq: int | None = None, before: bool = False, parts: int | None = None) -> DataFrame:
     """k, at: for each probe the first live key at or after it (before: the last one before it).
 
     An as-of join: probes and keys are sorted together in ranges; a probe whose answer lies beyond its range takes the
-    least (greatest) key of the ranges that follow, of which there are as many as partitions.
+    least (greatest) key of the ranges that follow, of which there are as many as partitions. Frames begin where a range
+    does, in falling order for keys after a probe, so a row is looked at once.
     """
     keys = live(ops, seq).select("k", F.lit(0).alias("is_probe"))
     asked = probes.select("k").distinct().select("k", F.lit(1).alias("is_probe"))
-    parts = parts or probes.sparkSession.sparkContext.defaultParallelism
-    both = keys.unionByName(asked).repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id())
+    both = ranged(keys.unionByName(asked), parts)
     key = F.when(F.col("is_probe") == 0, F.col("k"))
     if before:
         near = F.last(key, True).over(Window.partitionBy("part").orderBy(F.col("k").asc(), F.col("is_probe").desc()).rowsBetween(Window.unboundedPreceding, -1))
         edge, beyond = F.max(key), F.max("edge").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     else:
-        near = F.first(key, True).over(Window.partitionBy("part").orderBy(F.col("k").asc(), F.col("is_probe").desc()).rowsBetween(0, Window.unboundedFollowing))
+        near = F.last(key, True).over(Window.partitionBy("part").orderBy(F.col("k").desc(), F.col("is_probe").asc()).rowsBetween(Window.unboundedPreceding, 0))
         edge, beyond = F.min(key), F.min("edge").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
     edges = both.groupBy("part").agg(edge.alias("edge")).withColumn("beyond", beyond).select("part", "beyond")
     out = both.withColumn("near", near).filter("is_probe = 1").join(F.broadcast(edges), "part", "left")  # a row a partition
@@ -101,13 +112,11 @@ def multi_seek(ops: DataFrame, probes: DataFrame, seq: int | None = None, before
 
 def neighbours(ops: DataFrame, seq: int | None = None, parts: int | None = None) -> DataFrame:
     """k with the live keys before and after it. Ranges are windowed apart; their edges are a row a partition."""
-    keys = live(ops, seq).select("k")
-    parts = parts or keys.sparkSession.sparkContext.defaultParallelism
-    ranged = keys.repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id())
+    dealt = ranged(live(ops, seq).select("k"), parts)
     w, by = Window.partitionBy("part").orderBy("k"), Window.orderBy("part")
-    edges = ranged.groupBy("part").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    edges = dealt.groupBy("part").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     edges = edges.select("part", F.lag("hi").over(by).alias("left"), F.lead("lo").over(by).alias("right"))
-    out = ranged.withColumn("prev_k", F.lag("k").over(w)).withColumn("next_k", F.lead("k").over(w)).join(F.broadcast(edges), "part")
+    out = dealt.withColumn("prev_k", F.lag("k").over(w)).withColumn("next_k", F.lead("k").over(w)).join(F.broadcast(edges), "part")
     return out.select("k", F.coalesce("prev_k", "left").alias("prev_k"), F.coalesce("next_k", "right").alias("next_k"))
 
 
