@@ -39,3 +39,15 @@ def test_copies_keep_the_fitted_fraction(spark):
         mean, low, high = n.agg(F.avg("n"), F.min("n"), F.max("n")).first()
         assert abs(mean - rate) < 0.02 and low == int(rate) and high <= int(rate) + 1
     assert df.select(mixing.copies(F.lit(0.2), 1, F.col("id")).alias("n")).agg(F.min("n")).first()[0] == 1
+
+
+def test_columns_of_clashing_names_stay(spark):
+    from lamina.llm import exact_dedup, near_copies
+
+    docs, labels, rows = tables(spark)
+    names = ["th", "score", "rate", "n", "node", "bands", "p", "kept", "missed", "stats", "domain", "quality", "y"]
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    marks = labels.withColumns({"text": F.lit("t"), "th": F.lit(1), "domain": F.when(F.col("quality") == 1, "fine").otherwise("bad")})
+    for out in (quality.keep_good(wide, marks), exact_dedup.keep_first(wide), near_copies.keep_one(wide), mixing.mix(wide, marks, {"fine": 0.99, "bad": 0.01}, budget="fine")):
+        assert out.columns == wide.columns and out.count() > 100 and all(out.first()[c] == c for c in names)
+    assert quality.quality_scores(wide, marks).count() == mixing.mixing_rates(wide, marks, {"fine": 0.9, "bad": 0.1}).count() == len(rows)
