@@ -21,11 +21,16 @@ def output_level(level, levels: int = 7):
 def memtable_cut(ops: DataFrame, write_buffer_size: int, width: int = 1 << 16) -> DataFrame:
     """ops with run: a new run begins each time the encoded entries so far pass another buffer's bytes.
 
-    The running sum is taken within ranges of width sequence numbers, on top of the sums of the ranges before.
+    The running sum is taken within ranges of width sequence numbers, on top of the sums of the ranges before, themselves
+    taken in ranges of width.
     """
     sized = ops.withColumn("bytes", entry_size(F.col("k"), F.col("v"))).withColumn("band", F.expr(f"seq div {width}L"))
-    sums = sized.groupBy("band").agg(F.sum("bytes").alias("b"))
-    starts = sums.select("band", F.coalesce(F.sum("b").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    sums = sized.groupBy("band").agg(F.sum("bytes").alias("b")).withColumn("far", F.expr(f"band div {width}L"))
+    before = lambda w: F.coalesce(F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Ranges of ranges: what is ordered as a whole has a row for width squared sequence numbers.
+    far = sums.groupBy("far").agg(F.sum("b").alias("b")).select("far", before(Window.orderBy("far")).alias("base"))
+    near = sums.withColumn("inner", before(Window.partitionBy("far").orderBy("band")))
+    starts = near.join(far, "far").select("band", (F.col("base") + F.col("inner")).alias("start"))
     own = F.sum("bytes").over(Window.partitionBy("band").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     run = F.expr(f"(start + own - bytes) div {write_buffer_size}L")
     return sized.withColumn("own", own).join(starts, "band").withColumn("run", run).drop("own", "start", "band")
