@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine, Options
 from ..functions import codec
 from ..operators import compaction, cursor, metrics
-from ..operators.latest import latest, latest_by_rank, live, merged, snapshot_diff, tombstones, version_counts
+from ..operators.latest import latest, live, merged, snapshot_diff, tombstones, version_counts
 from ..operators.ops import batch_last_ops, synthetic_ops
 from ..sources.catalog import VersionEdit, file_prune, fold_edits, obsolete_files
 from ..sources.iterator import SyntheticSource
@@ -601,7 +601,7 @@ def kv_merge_runs(spark, sf_dir):
     """Runs of the op log merged, the newest version by rank."""
     ops = files_of(events_ops(spark, sf_dir))
     runs = [ops.filter(F.col("number") % 3 == i).drop("number") for i in range(3)]
-    return latest_by_rank(merged(*runs))
+    return latest(merged(*runs))
 
 
 _ENTRY_SQL = "concat(lpad(hex(type), 2, '0'), lpad(hex(strlen(k)), 2, '0'), hex(encode(k)), case when v is null then '' else concat(lpad(hex(strlen(v)), 2, '0'), hex(encode(v))) end)"
