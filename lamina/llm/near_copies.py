@@ -1,16 +1,21 @@
-"""Near copies: every pair of texts whose word shingles have a Jaccard similarity of least or more, then one of each group.
+"""Near copies by SimHash and multi-index hashing: every pair of texts whose word shingles have a Jaccard similarity of least or
+more, then one of each group. Texts of one set are one node.
 
-A text has BANDS fingerprints, each of ROWS min-hashes of its set of shingles; texts that share one are compared on the sets
-themselves. A pair of similarity 0.8 shares none with a probability of (1 - 0.8 ** ROWS) ** BANDS, about 1.5 in 100,000, and
-a more similar one less often. Texts of one set are one node.
+A text's fingerprint has BITS bits: a bit is set if it is in over half of the salted hashes of the text's set of shingles. Two
+sets of similarity 0.8 differ in 15 % of the bits, unlike ones in half. An index holds each fingerprint by many segments of a
+few bits, drawn at random; nodes that agree in a segment meet, those that differ in FAR bits or more part, and of the others
+the sets themselves are compared. No segment is sure to agree, so there are as many as make a pair of similarity 0.8 miss
+all of them once in 10,000 by calculation (texts of eight or nine words more often: ties make their bits less alike), and a
+more similar pair less often. Segments have more bits the more nodes there are, and are indexed STEP at a time.
 
-A fingerprint that more than HOT nodes share would give pairs by the square. Nodes that such fingerprints bring together are
+A segment value that more than HOT nodes share would give pairs by the square. Nodes that such values bring together are
 a crowd, dealt to blocks of about BLOCK nodes; every two blocks of a crowd meet in a task of their own, which compares all
 their nodes as matrices and returns the edges of a spanning forest. The comparisons of a crowd still grow with its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +28,8 @@ from pyspark.sql import functions as F
 from .common import Work, raw_texts, row_join
 from .components import components
 
-SEED, BANDS, ROWS, HOT, BLOCK, COLUMNS = 42, 28, 5, 32, 512, 8192
-_RNG = np.random.default_rng(9)
-_SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
+SEED, BITS, FAR, MISS, STEP, HOT, BLOCK, COLUMNS = 42, 2048, 640, 1e-4, 64, 32, 512, 8192
+_SALT = np.random.default_rng(9).integers(0, 1 << 63, BITS // 64, np.uint64)
 _MIX, _MORE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,23 +53,53 @@ def _node(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64).view(np.int64))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A set's fingerprints, signed; texts of different sets share one by chance only if they share ROWS min-hashes."""
-    least = np.full(len(_SALT), np.iinfo(np.uint64).max)
+def _ones(rows: np.ndarray) -> np.ndarray:
+    """In how many rows (of 64-bit words, one at least) each bit is set, by carry-save addition of whole words."""
+    out, k = np.zeros(rows.shape[1] * 64, np.int64), 0
+    while len(rows):
+        carry = []
+        while len(rows) > 2:
+            third = len(rows) // 3
+            a, b, c = rows[:third], rows[third : 2 * third], rows[2 * third : 3 * third]
+            carry.append((a & b) | ((a ^ b) & c))
+            rows = np.concatenate((a ^ b ^ c, rows[3 * third :]))
+        if len(rows) == 2:
+            carry.append(rows[:1] & rows[1:])
+            rows = rows[:1] ^ rows[1:]
+        out += np.unpackbits(rows[0].view(np.uint8)).astype(np.int64) << k
+        rows, k = np.concatenate(carry) if carry else rows[:0], k + 1
+    return out
+
+
+def fingerprint(own: np.ndarray) -> bytes:
+    """A set's SimHash of BITS bits; the empty set has none."""
+    ones = np.zeros(BITS, np.int64)
     for k in range(0, len(own), 2048):  # memory stays bounded for very long texts
-        x = (own[k : k + 2048] ^ _SALT[:, None]) * _MIX
+        x = (own[k : k + 2048, None] ^ _SALT) * _MIX
         x ^= x >> np.uint64(32)
         x *= _MORE
-        least = np.minimum(least, x.min(axis=1))
-    out = _BAND.copy()
-    for column in least.reshape(BANDS, ROWS).T:
-        out = (out ^ column) * _MIX
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+        x ^= x >> np.uint64(29)
+        ones += _ones(x)
+    return np.packbits(2 * ones > len(own)).tobytes()
+
+
+def segments(nodes: int) -> np.ndarray:
+    """The places of the bits of each segment, a row each, for a table of so many nodes."""
+    size, p = max(12, math.ceil(math.log2(max(nodes, 1))) + 4), math.acos(8 / 9) / math.pi
+    d = np.arange(BITS // 2)
+    logs = np.cumsum(np.log(np.arange(1, BITS + 1)))
+    choose = logs[-1] - np.concatenate(([0], logs[: len(d) - 1])) - logs[BITS - 1 - d]
+    chance = np.exp(choose + d * math.log(p) + (BITS - d) * math.log(1 - p))
+    agree = np.prod([(BITS - d - i) / (BITS - i) for i in range(size)], axis=0)
+    many = STEP
+    while (chance * (1 - agree) ** many).sum() > MISS:
+        many += 8
+    rng = np.random.default_rng(10)
+    return np.array([rng.choice(BITS, size, replace=False) for _ in range(many)])
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (hash of the text), node, n (shingles in the set), bands, for each row; null texts are empty."""
+    """doc_id, th (hash of the text), node, n (shingles in the set), print, for each row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,12 +108,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 own = shingle_set(t.as_py(), width)
                 nodes.append(_node(own))
                 sizes.append(len(own))
-                prints.append(bands(own))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (nodes, sizes, prints), kinds)], names=["doc_id", "th", "node", "n", "bands"])
+                prints.append(fingerprint(own))
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (nodes, sizes, prints), kinds)], names=["doc_id", "th", "node", "n", "print"])
 
     keyed = raw_texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return keyed.mapInArrow(run, "doc_id long, th long, node long, n int, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, th long, node long, n int, print binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -180,16 +213,48 @@ def _crowds(work: Work, hot: DataFrame, sets: DataFrame, least: float, block: in
     return meets.join(sets, "node").groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long").filter("a <> b")
 
 
+def _indexed(nodes: DataFrame, places: np.ndarray, first: int) -> DataFrame:
+    """node, n, val (a segment's number and bits) for each segment of each node."""
+    size = places.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
+            val = bits[:, places].astype(np.int64) @ (1 << np.arange(size)) + (np.arange(first, first + len(places)) << size)
+            many = pa.array(np.repeat(np.arange(batch.num_rows), len(places)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(many), batch.column(1).take(many), pa.array(val.ravel())], names=["node", "n", "val"])
+
+    return nodes.select("node", "n", "print").mapInArrow(run, "node long, n int, val long")
+
+
+def _not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints differ in less than FAR bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) < FAR))
+
+    left, right = nodes.select("node", "print").toDF("a", "x"), nodes.select("node", "print").toDF("b", "y")
+    return pairs.join(left, "a").join(right, "b").select("x", "y", "a", "b").mapInArrow(run, "a long, b long")
+
+
 def links(work: Work, docs: DataFrame, nodes: DataFrame, width: int, least: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """a, b: edges between nodes (node, n, th, bands) whose components are those of the pairs of similarity least or more."""
-    table = nodes.select("node", "n", F.explode("bands").alias("val"))
-    shared = table.groupBy("val").agg(F.count("*").alias("m")).filter("m > 1")
-    members = work.save(table.join(shared, "val"), "members")
-    calm, crowded = members.filter(F.col("m") <= hot), members.filter(F.col("m") > hot).select("val", "node")
-    other = calm.select("val", F.col("node").alias("b"), F.col("n").alias("nb"))
-    alike = F.least("n", "nb") >= least * F.greatest("n", "nb")
-    pairs = calm.join(other, "val").filter((F.col("node") > F.col("b")) & alike).select(F.col("node").alias("a"), "b").distinct()
-    pairs = work.save(pairs, "pairs")
+    """a, b: edges between nodes (node, n, th, print) whose components are those of the pairs of similarity least or more."""
+    places, some = segments(nodes.filter("n > 0").count()), nodes.filter("n > 0")
+    pairs = crowded = None
+    for k in range(0, len(places), STEP):
+        table = _indexed(some, places[k : k + STEP], k)
+        shared = work.save(table.groupBy("val").agg(F.count("*").alias("m")).filter("m > 1"), f"shared-{k}")
+        members = work.save(table.join(shared, "val"), f"members-{k}")
+        calm, full = members.filter(F.col("m") <= hot), members.filter(F.col("m") > hot).select("val", "node")
+        other = calm.select("val", F.col("node").alias("b"), F.col("n").alias("nb"))
+        alike = F.least("n", "nb") >= least * F.greatest("n", "nb")
+        met = calm.join(other, "val").filter((F.col("node") > F.col("b")) & alike).select(F.col("node").alias("a"), "b").distinct()
+        met = work.save(met, f"met-{k}")
+        pairs, crowded = (met, full) if pairs is None else (pairs.union(met), crowded.union(full))
+        work.forget()
+    pairs = work.save(_not_far(pairs.distinct(), nodes), "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("node")).distinct()
     sets = work.save(_sets(docs, nodes.select("node", "th").join(wanted.toDF("node"), "node", "left_semi"), width), "sets")
     edges = work.save(_compared(pairs, sets).filter(F.col("j") >= least).select("a", "b"), "near")
@@ -205,7 +270,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int =
     """
     work = Work(docs.sparkSession, "near-copies")
     rows = work.save(sketches(docs, width), "sketches")
-    nodes = work.save(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("bands").alias("bands"), F.min("doc_id").alias("least")), "nodes")
+    nodes = work.save(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("print").alias("print"), F.min("doc_id").alias("least")), "nodes")
     roots = components(work, links(work, docs, nodes, width, least, hot, block))
     rooted = work.save(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
