@@ -3,14 +3,18 @@ more, then one of each group. Texts of one set are one node.
 
 A text's fingerprint has BITS bits: a bit is set if it is in over half of the salted hashes of the text's set of shingles. Two
 sets of similarity 0.8 differ in 15 % of the bits, unlike ones in half. An index holds each fingerprint by many segments of a
-few bits, drawn at random; nodes that agree in a segment meet, those that differ in FAR bits or more part, and of the others
-the sets themselves are compared. No segment is sure to agree, so there are as many as make a pair of similarity 0.8 miss
-all of them once in 10,000 by calculation (texts of eight or nine words more often: ties make their bits less alike), and a
-more similar pair less often. Segments have more bits the more nodes there are, and are indexed STEP at a time.
-
-A segment value that more than HOT nodes share would give pairs by the square. Nodes that such values bring together are
-a crowd, dealt to blocks of about BLOCK nodes; every two blocks of a crowd meet in a task of their own, which compares all
-their nodes as matrices and returns the edges of a spanning forest. The comparisons of a crowd still grow with its square.
+few bits, drawn at random; nodes that agree in a segment meet, those that differ in FAR of BITS or more (by the first CHECKED)
+part, and of the others the sets themselves are compared. No segment is sure to agree, so there are as many as make a pair of
+similarity 0.8 miss all of them once in 10,000 by calculation (texts of eight or nine words more often: ties make their bits
+less alike), and a more similar pair less often. Segments have more bits the more nodes there are, and are indexed STEP at a
+time. Index entries cross the network once, packed and sorted by task, segment and range of values.
+
+Pairs within a component that is known need no comparison. So each node is first compared with the NEAREST nodes that it meets,
+by their bits, and then the pairs of different components are. Of a segment value that more than HOT nodes share, only nodes
+side by side meet at first; then those of all components but its largest are held against all others by their bits, and only nodes
+that have a close one of another component are a crowd. Of a crowd, too, those outside its largest component are compared
+with all: blocks of about BLOCK nodes meet in tasks of their own, which compare the sets as matrices and return the edges of
+a spanning forest. These comparisons grow with a crowd's size times the nodes that are not linked yet.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work, raw_texts, row_join
+from .common import FEW_ROWS, Work, raw_texts, row_join
 from .components import components
 
-SEED, BITS, FAR, MISS, STEP, HOT, BLOCK, COLUMNS = 42, 2048, 640, 1e-4, 64, 32, 512, 8192
+SEED, BITS, FAR, CHECKED, MISS, STEP, HOT, BLOCK, COLUMNS, PACK, NEAREST = 42, 2048, 640, 256, 1e-4, 128, 32, 512, 8192, 1 << 16, 8
 _SALT = np.random.default_rng(9).integers(0, 1 << 63, BITS // 64, np.uint64)
 _MIX, _MORE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,7 +53,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingles(text, width)), np.uint64))
 
 
-def _node(own: np.ndarray) -> int:
+def _key(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64).view(np.int64))
 
 
@@ -91,7 +95,7 @@ def segments(nodes: int) -> np.ndarray:
     choose = logs[-1] - np.concatenate(([0], logs[: len(d) - 1])) - logs[BITS - 1 - d]
     chance = np.exp(choose + d * math.log(p) + (BITS - d) * math.log(1 - p))
     agree = np.prod([(BITS - d - i) / (BITS - i) for i in range(size)], axis=0)
-    many = STEP
+    many = 64
     while (chance * (1 - agree) ** many).sum() > MISS:
         many += 8
     rng = np.random.default_rng(10)
@@ -99,33 +103,50 @@ def segments(nodes: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (hash of the text), node, n (shingles in the set), print, for each row; null texts are empty."""
+    """doc_id, th (hash of the text), key (hash of the set), n (shingles in the set), print, for each row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prints = [], [], []
+            keys, sizes, prints = [], [], []
             for t in batch.column(2):
                 own = shingle_set(t.as_py(), width)
-                nodes.append(_node(own))
+                keys.append(_key(own))
                 sizes.append(len(own))
                 prints.append(fingerprint(own))
             kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (nodes, sizes, prints), kinds)], names=["doc_id", "th", "node", "n", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (keys, sizes, prints), kinds)], names=["doc_id", "th", "key", "n", "print"])
 
     keyed = raw_texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return keyed.mapInArrow(run, "doc_id long, th long, node long, n int, print binary")
+    return keyed.mapInArrow(run, "doc_id long, th long, key long, n int, print binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and its set (sorted, as bytes), of the texts whose hash th is wanted."""
+def _numbered(work: Work, rows: DataFrame) -> DataFrame:
+    """key, n, th, print, least (doc_id) and node, a number without gaps, of each distinct key."""
+    each = rows.groupBy("key").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("print").alias("print"), F.min("doc_id").alias("least"))
+    placed = work.save(each.withColumn("place", F.monotonically_increasing_id()), "nodes")
+    part, starts, total = F.shiftright("place", 33), [(-1, 0)], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], total - (r["part"] << 33)))
+        total += r["count"]
+    if total >= 1 << 32:
+        raise ValueError("index entries hold node numbers of 32 bits")
+    shifts = rows.sparkSession.createDataFrame(starts, "part long, shift long")
+    return placed.join(F.broadcast(shifts), part == F.col("part")).withColumn("node", F.col("place") + F.col("shift")).drop("part", "place", "shift")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node and its set (sorted, as bytes), of wanted (node, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(t.as_py(), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_node, own), pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
+            own = [shingle_set(t.as_py(), width) for t in batch.column(2)]
+            same = pa.array([_key(s) == k for s, k in zip(own, batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"]).filter(same)
 
-    some = raw_texts(docs).select(F.xxhash64("text").alias("th"), "text").join(wanted.select("th").distinct(), "th", "left_semi")
-    return some.select("text").mapInArrow(run, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
+    some = nodes.join(wanted, "node", "left_semi").select("th", "node", "key")
+    some = F.broadcast(some) if wanted.count() <= FEW_ROWS else some
+    found = raw_texts(docs).select(F.xxhash64("text").alias("th"), "text").join(some, "th").select("node", "key", "text")
+    return found.mapInArrow(run, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,18 +211,20 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _crowds(work: Work, hot: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b: edges whose components are those of the pairs of similarity least or more among nodes that share a hot val (val, node)."""
-    joined = work.save(hot.join(hot.groupBy("val").agg(F.min("node").alias("b")), "val").select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "crowd-links")
-    roots = components(work, joined)
-    members = work.save(hot.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("crowd")), "crowds")
-    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "crowd").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("node", "crowd", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") <= F.col("other")).alias("left"))
+    """a, b: edges whose components, with root, are those of the pairs of similarity least or more among nodes that share a hot val (val, node, root)."""
+    shared = hot.select("val", "root").distinct()
+    joined = shared.join(hot.groupBy("val").agg(F.min("root").alias("b")), "val").select(F.col("root").alias("a"), "b").filter("a <> b").distinct()
+    crowds = components(work, work.save(joined, "crowd-links")).toDF("root", "crowd")
+    members = work.save(hot.select("node", "root").distinct().join(crowds, "root", "left").withColumn("crowd", F.coalesce("crowd", "root")), "crowds")
+    sizes = members.groupBy("crowd", "root").agg(F.count("*").alias("size")).groupBy("crowd").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size"))
+    blocks = [F.ceil(x / block).cast("int").alias(n) for x, n in ((F.col("size") - F.col("most.size"), "lefts"), (F.col("size"), "rights"))]
+    dealt = members.join(sizes.select("crowd", F.col("most.root").alias("most"), *blocks), "crowd")
+    left, right = (F.pmod(F.xxhash64("node"), n).cast("int") for n in ("lefts", "rights"))
+    few = dealt.filter("root <> most").select("node", "crowd", left.alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.lit(True).alias("left"))
+    meets = few.union(dealt.filter("lefts > 0").select("node", "crowd", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), right.alias("j"), F.lit(False).alias("left")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        same = group["i"].iloc[0] == group["j"].iloc[0]
-        sides = [group[group["left"]], group if same else group[~group["left"]]]
+        sides = [group[group["left"]], group[~group["left"]]]
         (a, x), (b, y) = [(g["node"].to_numpy(), [np.frombuffer(s, np.uint64) for s in g["own"]]) for g in sides]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -213,52 +236,137 @@ def _crowds(work: Work, hot: DataFrame, sets: DataFrame, least: float, block: in
     return meets.join(sets, "node").groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long").filter("a <> b")
 
 
-def _indexed(nodes: DataFrame, places: np.ndarray, first: int) -> DataFrame:
-    """node, n, val (a segment's number and bits) for each segment of each node."""
-    size = places.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
-            val = bits[:, places].astype(np.int64) @ (1 << np.arange(size)) + (np.arange(first, first + len(places)) << size)
-            many = pa.array(np.repeat(np.arange(batch.num_rows), len(places)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(many), batch.column(1).take(many), pa.array(val.ravel())], names=["node", "n", "val"])
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all elements, then the second ones, and so on: like ones side by side, for compression."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
-    return nodes.select("node", "n", "print").mapInArrow(run, "node long, n int, val long")
 
+def _whole(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-def _not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fingerprints differ in less than FAR bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) < FAR))
-
-    left, right = nodes.select("node", "print").toDF("a", "x"), nodes.select("node", "print").toDF("b", "y")
-    return pairs.join(left, "a").join(right, "b").select("x", "y", "a", "b").mapInArrow(run, "a long, b long")
+def _met(nodes: DataFrame, places: np.ndarray, first: int, many: int, hot: int, least: float) -> DataFrame:
+    """a, b, val, for segments first and on of an index of many nodes (node, n, print): a > b are nodes that agree in a
+    segment value and are not too unlike in n (val -1), or a is one of the more than hot nodes of val (b -1). Of so many only
+    those side by side are pairs."""
+    size = places.shape[1]
+    high = max(0, math.ceil(math.log2(max(many, 1))) - 18)  # by its first bits a segment is cut into parts of about 262,144 entries
+    low, apart = size - high, int(8 * math.log2(1 / max(least, 2**-31))) + 1
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        node, n = (np.concatenate([h[k] for h in held]).astype(np.uint64) for k in (0, 1))
+        tail = node << np.uint64(8) | np.floor(8 * np.log2(n)).astype(np.uint64)
+        buckets, codes = [], []
+        for k, val in enumerate(np.concatenate([h[2] for h in held], axis=1), first):
+            part = (val >> np.uint64(low)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            code = ((val & np.uint64((1 << low) - 1)) << np.uint64(40) | tail)[order]
+            cuts = np.searchsorted(part[order], np.arange((1 << high) + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                buckets.append(k << high | p)
+                codes.append(_planes(np.sort(code[cuts[p] : cuts[p + 1]])))
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(codes, pa.binary())], names=["bucket", "codes"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1).T.copy()
+            val = np.zeros((len(places), batch.num_rows), np.uint64)
+            for at in places.T:
+                val <<= np.uint64(1)
+                val |= bits[at]
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), val))
+            rows += batch.num_rows
+            if rows >= PACK:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        code = np.sort(np.concatenate([_whole(c) for c in group["codes"]]))
+        val, node, n = code >> np.uint64(40), (code >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64), (code & np.uint64(255)).astype(np.int16)
+        starts = np.flatnonzero(np.concatenate(([True], val[1:] != val[:-1])))
+        runs = np.diff(np.append(starts, len(val)))
+        length = np.repeat(runs, runs)
+        full = length > hot
+        out = [(node[full], np.full(int(full.sum()), -1), (int(group["bucket"].iloc[0]) << low) + val[full].astype(np.int64))]
+        for k in range(1, hot):
+            at = np.flatnonzero((val[k:] == val[:-k]) & ~full[k:]) if k > 1 else np.flatnonzero(val[1:] == val[:-1])
+            if not len(at):
+                break
+            at = at[np.abs(n[at + k] - n[at]) <= apart]
+            out.append((node[at + k], node[at], np.full(len(at), -1)))
+        return pd.DataFrame({x: np.concatenate([o[k] for o in out]) for k, x in enumerate("abv")}).rename(columns={"v": "val"})
+
+    dealt = nodes.select("node", "n", "print").mapInArrow(deal, "bucket long, codes binary")
+    return dealt.repartition(max(16, len(places) << high >> 3), "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, val long")
+
+
+def _words(side: str = "") -> list[Column]:
+    """The first CHECKED bits of print, as longs."""
+    return [F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"{side}p{k}") for k in range(CHECKED // 64)]
+
+
+def _not_far(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints and sizes are not too unlike for similarity least, and d, how many bits differ."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), *_words(x)) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"ap{k}").bitwiseXOR(F.col(f"bp{k}"))) for k in range(CHECKED // 64)), F.lit(0))
+    alike = F.least("an", "bn") >= least * F.greatest("an", "bn")
+    return pairs.join(left, "a").join(right, "b").filter(alike & (differ < FAR * CHECKED // BITS)).select("a", "b", differ.alias("d"))
+
+
+def _open(full: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """val, node and root of full (val, node) that have, at their val, a node of another component whose fingerprint is not far."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        root, size = np.unique(group["root"].to_numpy(), return_inverse=True, return_counts=True)[1:]
+        bits, found = group[[f"p{k}" for k in range(CHECKED // 64)]].to_numpy().view(np.uint64), np.zeros(len(group), bool)
+        few = np.flatnonzero(root != np.argmax(size))
+        step = max(1, (1 << 20) // len(group))
+        for k in range(0, len(few), step):
+            own = few[k : k + step]
+            differ = sum(np.bitwise_count(bits[own, None, j] ^ bits[:, j]).astype(np.int16) for j in range(bits.shape[1]))
+            near = (differ < FAR * CHECKED // BITS) & (root[own, None] != root)
+            found[own] |= near.any(axis=1)
+            found |= near.any(axis=0)
+        return group.loc[found, ["val", "node", "root"]]
+
+    named = full.join(roots, "node", "left").select("val", "node", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("val").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("val")
+    held = named.join(several, "val").join(nodes.select("node", *_words()), "node")
+    return held.repartition(4 * held.sparkSession.sparkContext.defaultParallelism, "val").groupBy("val").applyInPandas(run, "val long, node long, root long")
 
 
 def links(work: Work, docs: DataFrame, nodes: DataFrame, width: int, least: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """a, b: edges between nodes (node, n, th, print) whose components are those of the pairs of similarity least or more."""
-    places, some = segments(nodes.filter("n > 0").count()), nodes.filter("n > 0")
-    pairs = crowded = None
+    """a, b: edges between nodes (node, key, n, th, print) whose components are those of the pairs of similarity least or more."""
+    some = nodes.filter("n > 0")
+    many, met = nodes.count(), None
+    places = segments(many)
     for k in range(0, len(places), STEP):
-        table = _indexed(some, places[k : k + STEP], k)
-        shared = work.save(table.groupBy("val").agg(F.count("*").alias("m")).filter("m > 1"), f"shared-{k}")
-        members = work.save(table.join(shared, "val"), f"members-{k}")
-        calm, full = members.filter(F.col("m") <= hot), members.filter(F.col("m") > hot).select("val", "node")
-        other = calm.select("val", F.col("node").alias("b"), F.col("n").alias("nb"))
-        alike = F.least("n", "nb") >= least * F.greatest("n", "nb")
-        met = calm.join(other, "val").filter((F.col("node") > F.col("b")) & alike).select(F.col("node").alias("a"), "b").distinct()
-        met = work.save(met, f"met-{k}")
-        pairs, crowded = (met, full) if pairs is None else (pairs.union(met), crowded.union(full))
+        table = work.save(_met(some, places[k : k + STEP], k, many, hot, least), f"met-{k}")
+        met = table if met is None else met.union(table)
         work.forget()
-    pairs = work.save(_not_far(pairs.distinct(), nodes), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("node")).distinct()
-    sets = work.save(_sets(docs, nodes.select("node", "th").join(wanted.toDF("node"), "node", "left_semi"), width), "sets")
-    edges = work.save(_compared(pairs, sets).filter(F.col("j") >= least).select("a", "b"), "near")
-    return edges if crowded.isEmpty() else edges.union(_crowds(work, crowded, sets, least, block))
+    pairs = work.save(_not_far(met.filter("val < 0").select("a", "b").distinct(), some, least), "pairs")
+    full = met.filter("val >= 0").select("val", F.col("a").alias("node"))
+    sides = pairs.select("a", "b", "d", F.explode(F.array("a", "b")).alias("node"))
+    nearest = sides.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("d", "a", "b"))).filter(F.col("r") <= NEAREST)
+    firsts = work.save(nearest.select("a", "b").distinct(), "firsts")
+    sets = work.save(_sets(docs, nodes, sides.select("node").distinct(), width), "sets")
+    near = work.save(_compared(firsts, sets).filter(F.col("j") >= least).select("a", "b"), "near-firsts")
+    roots = work.save(components(work, near), "roots")
+    left, right = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    apart = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    apart = apart.join(firsts, ["a", "b"], "left_anti")
+    edges = roots.toDF("a", "b").union(work.save(_compared(apart, sets).filter(F.col("j") >= least).select("a", "b"), "near"))
+    if full.isEmpty():
+        return edges
+    roots = work.save(components(work, edges), "more-roots")
+    still = work.save(_open(full, roots, some), "open")
+    edges = roots.toDF("a", "b")
+    if still.isEmpty():
+        return edges
+    return edges.union(_crowds(work, still, work.save(_sets(docs, nodes, still.select("node").distinct(), width), "open-sets"), least, block))
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -270,11 +378,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int =
     """
     work = Work(docs.sparkSession, "near-copies")
     rows = work.save(sketches(docs, width), "sketches")
-    nodes = work.save(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("print").alias("print"), F.min("doc_id").alias("least")), "nodes")
+    nodes = _numbered(work, rows)
     roots = components(work, links(work, docs, nodes, width, least, hot, block))
-    rooted = work.save(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.select("doc_id", "th", "node").join(named, "node").select("doc_id", "th", "component_id")
+    rooted = work.save(nodes.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return rows.select("doc_id", "th", "key").join(named, "key").select("doc_id", "th", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
