@@ -17,6 +17,13 @@ from .catalog import CorruptionError, FileMeta, Storage
 from .shared import remove, work_folder
 
 COLUMNS = ["k", "seq", "type", "v"]
+#: What one task sorts at most, in bytes and in entries (a row of few bytes takes some hundred in memory).
+TASK_BYTES, TASK_ENTRIES = 64 << 20, 500_000
+
+
+def tasks_for(size: int, entries: int) -> int:
+    """Tasks for so many bytes and entries: they follow from what there is to sort, and not from how small runs are cut."""
+    return max(1, -(-size // TASK_BYTES), -(-entries // TASK_ENTRIES))
 
 
 def run_path(root: str, number: int) -> str:
@@ -36,9 +43,11 @@ def write_run(ops: DataFrame, root: str, number: int, level: int, partitions: in
     return None if meta is None else replace(meta, number=number, level=level)
 
 
-def _formatted(writer, compression: str, page_bytes: int, row_group_bytes: int, fpp: float):
-    """Bloom filters on the key, small row groups, page checksums."""
+def _formatted(writer, compression: str, page_bytes: int, row_group_bytes: int, fpp: float, keys: int | None = None):
+    """Bloom filters on the key, for keys at most if given (1 MB each otherwise), small row groups, page checksums."""
     options = {"parquet.bloom.filter.enabled#k": "true", "parquet.bloom.filter.fpp#k": fpp, "parquet.page.size": page_bytes, "parquet.block.size": row_group_bytes, "parquet.page.write-checksum.enabled": "true", "compression": compression}
+    if keys:
+        options["parquet.bloom.filter.expected.ndv#k"] = keys
     for name, value in options.items():
         writer = writer.option(name, str(value))
     return writer
@@ -60,18 +69,20 @@ def cut_by_bytes(ops: DataFrame, target: int, parts: int) -> DataFrame:
     return held.withColumn("before", before).join(F.broadcast(starts), "part").withColumn("file", F.expr(f"(start + before) div {target}L")).drop("bytes", "part", "before", "start")
 
 
-def write_runs(ops: DataFrame, root: str, new_number: Callable[[], int], level: int, size: int, target: int, compression: str = "none", page_bytes: int = 4096, row_group_bytes: int = 4 << 20, fpp: float = 0.01) -> list[FileMeta]:
-    """Writes ops as runs of target bytes each in the order of keys, all in one job, and returns their catalogue rows."""
+def write_runs(ops: DataFrame, root: str, new_number: Callable[[], int], level: int, size: int, entries: int, target: int, compression: str = "none", page_bytes: int = 4096, row_group_bytes: int = 4 << 20, fpp: float = 0.01) -> list[FileMeta]:
+    """Writes ops, of up to size bytes and entries, as runs of target bytes each in the order of keys, all in one job, and
+    returns their catalogue rows. These are summed first: filters are sized by them, and reading thousands of runs back takes longer."""
     spark = ops.sparkSession
-    parts = max(1, -(-size // target))
+    parts = tasks_for(size, entries)
     staged = work_folder(spark, "compaction")
     cut = cut_by_bytes(ops.select(*COLUMNS), target, parts)
-    writer = cut.repartition(parts, "file").sortWithinPartitions("file", F.col("k"), F.col("seq").desc()).write.partitionBy("file")
-    _formatted(writer, compression, page_bytes, row_group_bytes, fpp).parquet(staged)
     storage, metas = Storage(spark, root), []
-    if not any(n.startswith("file=") for n in Storage(spark, staged).list("")):
+    stats = describe_by(cut, "file")
+    if not stats:
         return metas
-    stats = describe_by(spark.read.parquet(staged), "file")
+    writer = cut.repartition(parts, "file").sortWithinPartitions("file", F.col("k"), F.col("seq").desc()).write.partitionBy("file")
+    keys = max(meta.num_entries for meta in stats.values())
+    _formatted(writer, compression, page_bytes, row_group_bytes, fpp, keys).parquet(staged)
     for file in sorted(stats):  # a row and a rename for each run
         number = new_number()
         storage.adopt(f"{staged}/file={file}", f"runs/{number}.sst")
