@@ -5,15 +5,30 @@ Keys and values are opaque bytes; string keys work alike, for both kinds compare
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codec import entry_size
+
 DELETE, VALUE = 0, 1
 OP_SCHEMA = T.StructType([T.StructField("k", T.BinaryType(), False), T.StructField("seq", T.LongType(), False), T.StructField("type", T.IntegerType(), False), T.StructField("v", T.BinaryType(), True)])
 BATCH_SCHEMA = T.StructType([T.StructField("op_idx", T.IntegerType(), False), T.StructField("k", T.BinaryType(), False), T.StructField("type", T.IntegerType(), False), T.StructField("v", T.BinaryType(), True)])
 
 
+#: What one task sorts at most, in bytes and in entries (a row of few bytes takes some hundred in memory).
+TASK_BYTES, TASK_ENTRIES = 64 << 20, 500_000
+#: Parts that a task numbers: several, so that hashing deals them out evenly.
+PARTS_A_TASK = 8
+
+
+def tasks_for(size: int, entries: int) -> int:
+    """Tasks for so many bytes and entries: they follow from what there is to sort, and not from how small runs are cut."""
+    return max(1, -(-size // TASK_BYTES), -(-entries // TASK_ENTRIES))
+
+
 def as_bytes(x: bytes | bytearray | str) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
@@ -61,21 +76,35 @@ class WriteBatch:
         return batch
 
 
-def with_seq(batch: DataFrame, base: int) -> DataFrame:
+class BatchSize(NamedTuple):
+    """First and last op_idx of a batch (None if it is empty), its operations and their encoded bytes."""
+
+    low: int | None
+    high: int | None
+    entries: int
+    bytes: int
+
+
+def batch_size(batch: DataFrame) -> BatchSize:
+    n_bytes = F.coalesce(F.sum(entry_size(F.col("k"), F.col("v"))), F.lit(0))
+    return BatchSize(*batch.agg(F.min("op_idx"), F.max("op_idx"), F.count("*"), n_bytes).first())
+
+
+def with_seq(batch: DataFrame, base: int, size: BatchSize | None = None) -> DataFrame:
     """A batch's operations with their sequence numbers: base + 1 on, in the order of op_idx, gaps closed.
 
-    The position is found from counts per part, so no task sorts the whole batch.
+    The position is found from counts per part, so no task sorts the whole batch; the number of tasks grows with it.
     """
-    parts = max(1, batch.sparkSession.sparkContext.defaultParallelism)
-    low, high = batch.agg(F.min("op_idx"), F.max("op_idx")).first()
+    low, high, entries, n_bytes = size or batch_size(batch)
     if low is None:
         return batch.select("k", F.lit(None).cast("long").alias("seq"), "type", "v")
-    width = (high - low) // parts + 1
+    tasks = max(1, batch.sparkSession.sparkContext.defaultParallelism, tasks_for(n_bytes, entries))
+    width = (high - low) // (PARTS_A_TASK * tasks) + 1
     split = batch.withColumn("part", F.expr(f"(op_idx - {low}) div {width}"))
     sizes = split.groupBy("part").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("part").orderBy("op_idx"))
-    return split.withColumn("nth", nth).join(F.broadcast(starts.select("part", "start")), "part").select("k", (F.col("start") + F.col("nth") + F.lit(base)).alias("seq"), "type", "v")
+    return split.repartition(tasks, "part").withColumn("nth", nth).join(F.broadcast(starts.select("part", "start")), "part").select("k", (F.col("start") + F.col("nth") + F.lit(base)).alias("seq"), "type", "v")
 
 
 def batch_last_ops(ops: DataFrame, batch: str = "batch_id", index: str = "op_idx") -> DataFrame:

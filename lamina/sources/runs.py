@@ -12,18 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Window
 
 from ..functions.codec import entry_size
-from ..operators.ops import OP_SCHEMA
+from ..operators.ops import OP_SCHEMA, tasks_for
 from .catalog import CorruptionError, FileMeta, Storage
 from .shared import remove, work_folder
 
 COLUMNS = ["k", "seq", "type", "v"]
-#: What one task sorts at most, in bytes and in entries (a row of few bytes takes some hundred in memory).
-TASK_BYTES, TASK_ENTRIES = 64 << 20, 500_000
-
-
-def tasks_for(size: int, entries: int) -> int:
-    """Tasks for so many bytes and entries: they follow from what there is to sort, and not from how small runs are cut."""
-    return max(1, -(-size // TASK_BYTES), -(-entries // TASK_ENTRIES))
 
 
 def run_path(root: str, number: int) -> str:
@@ -33,10 +26,11 @@ def run_path(root: str, number: int) -> str:
 def write_run(ops: DataFrame, root: str, number: int, level: int, partitions: int | None = None, compression: str = "none", page_bytes: int = 4096, row_group_bytes: int = 4 << 20, fpp: float = 0.01) -> FileMeta | None:
     """Writes a run and returns its catalogue row; None if there was nothing to write.
 
-    Large runs are dealt by ranges of the key, so files and row groups have narrow key ranges and reads skip the rest.
+    Large runs are dealt by ranges of their order, so files and row groups have narrow key ranges and reads skip the rest, and
+    no task sorts more than its share, not even of one key's versions.
     """
     ordered = ops.select(*COLUMNS)
-    ordered = ordered.repartitionByRange(partitions, "k") if partitions and partitions > 1 else ordered.coalesce(1)
+    ordered = ordered.repartitionByRange(partitions, F.col("k"), F.col("seq").desc()) if partitions and partitions > 1 else ordered.coalesce(1)
     writer = ordered.sortWithinPartitions(F.col("k"), F.col("seq").desc()).write.mode("error")
     _formatted(writer, compression, page_bytes, row_group_bytes, fpp).parquet(run_path(root, number))
     meta = describe(read_runs(ops.sparkSession, root, [number]))
